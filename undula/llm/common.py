@@ -84,7 +84,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for plans that it can't size, the measured bytes of text."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 52:
         size = df.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
     return size
