@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text are worked on in pieces of about this many bytes, whatever the size of the Arrow batch.
 PIECE_BYTES = 4 << 20
+#: A side of a join is broadcast up to so many rows; larger ones are shuffled.
+SMALL = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +47,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(small: DataFrame) -> DataFrame:
+    """small, marked for a broadcast if it has at most SMALL rows (it is a written table, so that counting is cheap); else both sides are shuffled."""
+    return F.broadcast(small) if small.count() <= SMALL else small
+
+
 def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id as long, text as string and the columns named; anything else that docs carries is left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)

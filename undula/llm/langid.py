@@ -218,10 +218,10 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, *keep: str, slack: float = SLACK, spread: float = SPREAD) -> DataFrame:
-    """doc_id, the columns in keep, lang_pred, score, cross_entropy (per symbol, null for und) and accepted."""
-    rows = texts_of(docs, *keep)
+    """doc_id, the columns in keep (text may be one), lang_pred, score, cross_entropy (per symbol, null for und) and accepted."""
+    rows = texts_of(docs, *(c for c in keep if c != "text"))
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in ("doc_id", *keep))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value

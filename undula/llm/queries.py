@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, langid, media, packing, quality, simhash, substring, toxicity, urls
+from undula.llm import bpe, langid, lines, media, packing, quality, simhash, substring, toxicity, urls
 from undula.llm.common import crc_mod
 
 
@@ -40,6 +40,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.assign(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op7_simhash, op8_quality, op9_urls, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op6_lines, op7_simhash, op8_quality, op9_urls, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import map_arrow, materialize, texts_of
+from undula.llm.common import few, map_arrow, materialize, texts_of
 from undula.llm.components import components, forest
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -177,7 +177,7 @@ def _stars(radius: int, masks_: list[int]):
     return run
 
 
-def _squeeze(fp: np.ndarray, mask: int) -> np.ndarray:
+def squeeze(fp: np.ndarray, mask: int) -> np.ndarray:
     """The masked bits, gathered at the low end."""
     out = np.zeros(len(fp), dtype=np.uint64)
     n = 0
@@ -209,7 +209,7 @@ def near(prints: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFra
             node = batch.column("node").to_numpy(zero_copy_only=False)
             for i, m in enumerate(all_masks):
                 # the mask's number above 40 bits; a mask has 32 bits at most
-                key = (_squeeze(fp.view(np.uint64), m) & np.uint64((1 << 40) - 1)) | np.uint64(i << 40)
+                key = (squeeze(fp.view(np.uint64), m) & np.uint64((1 << 40) - 1)) | np.uint64(i << 40)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp), pa.array(node)], names=["key", "fp", "node"])
 
     keyed = prints.select("fp", "node").mapInArrow(run, "key long, fp long, node long").repartition("key").sortWithinPartitions("key")
@@ -232,6 +232,30 @@ def assign(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Dat
     return prints.join(classes(prints, radius), "fp").select("doc_id", "fp", "component")
 
 
+def survivors(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, whole, that stand for their component: the smallest doc_id (null last), of rows that share it the smallest hash of the text, once."""
+    key = [F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_row")]
+    marked = docs.select("*", *key)
+    prints = materialize(fingerprints(marked.select("doc_id", "text", "_row"), "_row", shingle=shingle))
+    own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    found = components(near(own.select("fp", F.col("fp").alias("node")), radius))
+    group = materialize(own.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")))
+    rows = prints.groupBy("fp", "doc_id", "_row").agg(F.count("*").alias("n")).join(group, "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    rows = materialize(rows.withColumn("order", order).select("component", "order", "n"))
+    first = rows.groupBy("component").agg(F.min("order").alias("first"))
+    judged = rows.join(first, "component").select(F.col("order.doc_id").alias("_doc"), F.col("order._row").alias("_row"), (F.col("order") == F.col("first")).alias("stays"), "n")
+    gone = materialize(judged.filter("not stays").select("_doc", "_row"))
+    twice = materialize(judged.filter("stays and n > 1").select("_doc", "_row"))
+    same = lambda b: (marked["_doc"].eqNullSafe(b["_doc"])) & (marked["_row"] == b["_row"])
+    kept = marked.join(g := few(gone), same(g), "left_anti")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    t = few(twice)
+    on = (kept["_doc"].eqNullSafe(t["_doc"])) & (kept["_row"] == t["_row"])
+    return kept.join(t, on, "left_anti").unionByName(kept.join(t, on, "left_semi").dropDuplicates(["_doc", "_row"])).select(*docs.columns)
+
+
 def hex_of(fp):
     """The 16 lowercase hex digits of a fingerprint column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -66,6 +66,7 @@ class Group:
 
     def __init__(self, ids: list[int | None], texts: list[bytes | None], window: int = WINDOW, prefix: int = PREFIX, index: bool = True):
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or b""))
+        self.order = order
         self.ids = [ids[i] for i in order]
         self.texts = [texts[i] or b"" for i in order]
         self.window, self.prefix = window, prefix
@@ -272,13 +273,17 @@ def word_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return removals(texts_of(docs), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", window)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text (without the removed words; untouched where none go), n_words and n_removed.
+def without_repeats(docs: DataFrame, *keep: str, window: int = WINDOW) -> DataFrame:
+    """doc_id, the columns in keep, text (without the removed words; untouched where none go), n_words and n_removed.
 
     Kept stretches keep their own white space and are joined by one space.
     """
 
-    def finish(g: Group, gone: np.ndarray, _) -> pa.Table:
+    rows = texts_of(docs, *keep)
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def finish(g: Group, gone: np.ndarray, table: pa.Table) -> pa.Table:
+        others = table.take(pa.array(g.order))
         texts, removed = [], []
         w = g.words
         for d in range(len(g.ids)):
@@ -290,6 +295,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 continue
             edge = np.flatnonzero(np.diff(np.concatenate(([True], flags, [True])).astype(np.int8)))
             texts.append(b" ".join(w.joined[w.start[a + s] : w.end[a + e - 1]] for s, e in zip(edge[0::2], edge[1::2], strict=True)))
-        return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(w.counts.astype(np.int64)), "n_removed": pa.array(removed, pa.int64())})
+        return pa.table({"doc_id": pa.array(g.ids, pa.int64())} | {c: others.column(c) for c in keep} | {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(w.counts.astype(np.int64)), "n_removed": pa.array(removed, pa.int64())})
 
-    return removals(texts_of(docs), finish, "doc_id long, text string, n_words long, n_removed long", window)
+    return removals(rows, finish, f"doc_id long, {kinds}text string, n_words long, n_removed long", window)
