@@ -37,7 +37,7 @@ from undula.llm.words import Words, grams
 
 WINDOW, PREFIX = 20, 6
 #: Bytes of a group of documents, about; suffixes of one prefix before it is made longer.
-GROUP_BYTES, CROWDED = 8 << 20, 20_000
+GROUP_BYTES, CROWDED = 4 << 20, 20_000
 _NO_ID = -(1 << 63)
 
 

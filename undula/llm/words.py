@@ -13,7 +13,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multipliers of two independent polynomial hashes modulo 2**64 (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
+_CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,9 +40,7 @@ def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n, modulo 2**64."""
     bits = max(16, int(n).bit_length())
-    if bits <= 23:
-        return _powers(base, bits)
-    return _powers.__wrapped__(base, bits)
+    return _powers(base, bits) if bits <= 21 else _powers.__wrapped__(base, bits)
 
 
 class Words:
@@ -66,13 +64,20 @@ class Words:
         return len(self.start)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        base = BASES[which]
-        up, down = powers(base, len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word: a polynomial of its bytes, about a megabyte of them at a time."""
+        out = np.empty(len(self), dtype=np.uint64)
+        at = 0
+        while at < len(self):
+            base = int(self.start[at])
+            to = max(at + 1, int(np.searchsorted(self.start, base + _CHUNK)))
+            start, end = self.start[at:to] - base, self.end[at:to] - base
+            size = np.diff(np.append(start, end[-1]))
+            offset = np.arange(end[-1]) - np.repeat(start, size)
+            terms = (self.buf[base : base + end[-1]].astype(np.uint64) + np.uint64(1)) * powers(BASES[which], int(size.max()))[0][offset]
+            terms = np.append(terms, np.uint64(0))
+            out[at:to] = np.add.reduceat(terms, np.stack((start, end), axis=1).ravel())[::2]
+            at = to
+        return mix(out + (self.end - self.start).astype(np.uint64))
 
     def word(self, i: int) -> bytes:
         return self.joined[self.start[i] : self.end[i]]
