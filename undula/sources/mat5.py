@@ -95,7 +95,7 @@ def _matrix(name: str, value) -> bytes:
         names = list(rows[0])
         head = _element(5, struct.pack("<i", 32)) + _element(1, b"".join(n.encode().ljust(32, b"\0") for n in names))
         cls, dims, body = STRUCT, (1, len(rows)), head + b"".join(_matrix("", r[n]) for r in rows for n in names)
-    elif isinstance(value, list):
+    elif isinstance(value, list) and any(isinstance(v, str | list) for v in value):
         cls, dims, body = CELL, (1, len(value)), b"".join(_matrix("", v) for v in value)
     else:
         a = np.asarray(value, dtype=float)
