@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text are worked on in pieces of about this many bytes, whatever the size of the Arrow batch.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: A side of a join is broadcast up to so many rows; larger ones are shuffled.
 SMALL = 200_000
 
@@ -62,6 +64,13 @@ def crc_mod(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def trim() -> None:
+    """Give freed memory back: a Python worker outlives its tasks, and its allocator keeps what they held."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
@@ -85,6 +94,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
             out = f(piece)
             if out is not None and out.num_rows:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

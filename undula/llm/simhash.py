@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import few, map_arrow, materialize, texts_of
+from undula.llm.common import few, map_arrow, materialize, texts_of, trim
 from undula.llm.components import components, forest
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Reference fingerprints of the distance table.
 PIVOTS = 32
-#: Fingerprints that one key may hold on average before another block is added, and at most before it is cut again.
+#: Fingerprints that one key (two blocks at least) may hold on average before another block is added, and at most before it is cut again.
 DENSE, CROWDED = 32, 1024
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -75,17 +75,18 @@ def distance_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def pairs_within(fp: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fingerprints within the radius: sorted by the first coordinate, discarded coordinate by coordinate, then verified."""
+def tiles(fp: np.ndarray, radius: int, refs: np.ndarray):
+    """Index pairs of fingerprints within the radius, from about a million compared at a time: sorted by the first coordinate, discarded coordinate by
+    coordinate, then verified."""
     table = distance_table(fp, refs)
     order = np.argsort(table[:, 0], kind="stable")
     table, own = table[order], fp[order]
     last = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
     n = last - np.arange(len(fp)) - 1
-    out_i, out_j = [], []
+    total = np.concatenate(([0], np.cumsum(n)))
     at = 0
-    while at < len(fp):  # about a million pairs at a time
-        to = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 20)))
+    while at < len(fp):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), side="right")) - 1)
         k = n[at:to]
         i = np.repeat(np.arange(at, min(to, len(fp))), k)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
@@ -95,10 +96,26 @@ def pairs_within(fp: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndar
             keep = np.abs(table[i, c] - table[j, c]) <= radius
             i, j = i[keep], j[keep]
         keep = np.bitwise_count(own[i] ^ own[j]) <= radius
-        out_i.append(order[i[keep]])
-        out_j.append(order[j[keep]])
+        if keep.any():
+            yield order[i[keep]], order[j[keep]]
         at = to
-    return np.concatenate(out_i or [np.zeros(0, int)]), np.concatenate(out_j or [np.zeros(0, int)])
+
+
+def pairs_within(fp: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of fingerprints within the radius."""
+    out = list(tiles(fp, radius, refs)) or [(np.zeros(0, int), np.zeros(0, int))]
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+def connect(fp: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect what all pairs within the radius connect; never many more of them than fingerprints are held."""
+    a = b = np.zeros(0, dtype=np.int64)
+    for i, j in tiles(fp, radius, refs):
+        a, b = np.concatenate([a, i]), np.concatenate([b, j])
+        if len(a) > len(fp):
+            node, root = forest(a, b)
+            a, b = root[node != root], node[node != root]
+    return a, b
 
 
 def masks(blocks: int, keep: int, bits: list[int] | None = None) -> list[int]:
@@ -108,28 +125,54 @@ def masks(blocks: int, keep: int, bits: list[int] | None = None) -> list[int]:
     return [sum(1 << b for i in c for b in cut[i]) for c in combinations(range(blocks), keep)]
 
 
-def links(fp: np.ndarray, radius: int, refs: np.ndarray, used: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A set of index pairs within the radius that connects what all such pairs connect. used: bits on which all of fp agree."""
+def split(fp: np.ndarray, radius: int, used: int) -> list[tuple[np.ndarray, int]] | None:
+    """Rows that agree on two more blocks, with all bits on which they now agree; None if that doesn't cut a crowd into parts of an eighth at most."""
     free = [b for b in range(64) if not used >> b & 1]
     if len(fp) <= CROWDED or len(free) < radius + 2:
-        return pairs_within(fp, radius, refs)
-    out_i, out_j = [], []
+        return None
+    out = []
     for m in masks(radius + 2, 2, free):
         key = fp & np.uint64(m)
         order = np.argsort(key, kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b - a > 1:
-                own = order[a:b]
-                i, j = links(fp[own], radius, refs, used | m)
-                if len(i) >= len(own):
-                    node, root = forest(i, j)
-                    i, j = root[node != root], node[node != root]
-                out_i.append(own[i])
-                out_j.append(own[j])
+        size = np.diff(edge)
+        if size.max() * 8 > len(fp):
+            return None
+        out += [(order[a : a + n], used | m) for a, n in zip(edge[:-1][size > 1], size[size > 1], strict=True)]
+    return out
+
+
+def links(fp: np.ndarray, radius: int, refs: np.ndarray, used: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A set of index pairs within the radius that connects what all such pairs connect. used: bits on which all of fp agree.
+
+    A crowd is cut by further blocks where these cut it well; else its pairs are discarded by the distance table a million at a time.
+    """
+    parts = split(fp, radius, used)
+    if parts is None:
+        return connect(fp, radius, refs)
+    out_i, out_j = [], []
+    for own, agreed in parts:
+        i, j = links(fp[own], radius, refs, agreed)
+        if len(i) >= len(own):
+            node, root = forest(i, j)
+            i, j = root[node != root], node[node != root]
+        out_i.append(own[i])
+        out_j.append(own[j])
     return np.concatenate(out_i or [np.zeros(0, int)]), np.concatenate(out_j or [np.zeros(0, int)])
 
 
+#: Keys of up to so many rows are compared by shifts of the whole sorted batch, larger ones one by one.
+SMALL_KEY = 32
+
+
+def new_pairs(diff: np.ndarray, mask: np.ndarray, masks_: list[int]) -> np.ndarray:
+    """Which pairs that differ by `diff` and share the key of a mask (its number) share no key of an earlier mask."""
+    fresh = np.ones(len(diff), dtype=bool)
+    for i, m in enumerate(masks_):
+        fresh &= (mask <= i) | ((diff & np.uint64(m)) != 0)
+    return fresh
+
+
 def _stars(radius: int, masks_: list[int]):
     """Rows (key, fp, node) sorted by key -> edges (a, b); a key's rows are held together, other keys' go by."""
 
@@ -142,23 +185,32 @@ def _stars(radius: int, masks_: list[int]):
             if not len(key):
                 return None
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            a, b = [], []
             size = np.diff(edge)
-            two = edge[:-1][size == 2]
-            if len(two):  # most keys: one pair
-                near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
-                a.append(node[two[near]])
-                b.append(node[two[near] + 1])
-            for s, n in zip(edge[:-1][size > 2], size[size > 2], strict=True):
-                own = node[s : s + n]
-                i, j = links(fp[s : s + n].view(np.uint64), radius, refs, masks_[int(key[s]) >> 40] if n > CROWDED else 0)
-                if len(i) >= n:
-                    x, root = forest(own[i], own[j])
+            a, b = [], []
+            few_rows = np.repeat((size > 1) & (size <= SMALL_KEY), size)
+            own = np.flatnonzero(few_rows)
+            k, f, n = key[own], fp[own].view(np.uint64), node[own]
+            table = distance_table(f, refs[:4])
+            for shift in range(1, SMALL_KEY):
+                same = np.flatnonzero(k[shift:] == k[:-shift]) if len(k) > shift else np.zeros(0, int)
+                if not len(same):
+                    break
+                same = same[np.abs(table[same] - table[same + shift]).max(axis=1) <= radius]  # discarded by the largest coordinate difference
+                diff = f[same] ^ f[same + shift]
+                near_ = np.bitwise_count(diff) <= radius
+                near_[near_] = new_pairs(diff[near_], k[same[near_]] >> 40, masks_)
+                a.append(n[same[near_]])
+                b.append(n[same[near_] + shift])
+            for s, n_rows in zip(edge[:-1][size > SMALL_KEY], size[size > SMALL_KEY], strict=True):
+                mine = node[s : s + n_rows]
+                i, j = links(fp[s : s + n_rows].view(np.uint64), radius, refs, masks_[int(key[s]) >> 40] if n_rows > CROWDED else 0)
+                if len(i) >= n_rows:
+                    x, root = forest(mine[i], mine[j])
                     a.append(root[x != root])
                     b.append(x[x != root])
                 else:
-                    a.append(own[i])
-                    b.append(own[j])
+                    a.append(mine[i])
+                    b.append(mine[j])
             if not a:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -173,6 +225,7 @@ def _stars(radius: int, masks_: list[int]):
         out = edges(*held)
         if out is not None:
             yield out
+        trim()
 
     return run
 
@@ -198,7 +251,7 @@ def squeeze(fp: np.ndarray, mask: int) -> np.ndarray:
 def near(prints: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) between nodes of prints (fp long distinct, node long distinct) whose links connect exactly what all links within the radius connect."""
     n = prints.count()
-    keep = 1
+    keep = 2
     while keep < 4 and n >> min(64 * keep // (radius + keep), 62) > dense:
         keep += 1
     all_masks = masks(radius + keep, keep)
