@@ -67,5 +67,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op6_lines, op7_simhash, op8_quality, op9_urls, op10_packing)}
 
 
+#: The windows of 20 words in full; every one after the first of its equals takes its words along.
+OP3_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s + 1 : s + 20], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 19, 0))) AS s FROM w)),
+lost AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM lost)),
+word AS (SELECT doc_id, unnest(range(len(ws))) AS p, unnest(ws) AS x FROM w),
+kept AS (SELECT doc_id, count(gone.p) AS n_removed, string_agg(word.x, ' ' ORDER BY p) FILTER (WHERE gone.p IS NULL) AS t FROM word LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring": OP3_SQL}
