@@ -200,6 +200,11 @@ class ByteEncoder(Encoder):
             self.pieces[text] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty the tables: a worker outlives its tasks."""
+        self.ids.clear()
+        self.pieces.clear()
+
     def learn(self, words: set[str]) -> None:
         odd = []
         for w in words:

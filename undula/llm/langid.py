@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import crc_mod, map_arrow, pieces, texts_of
+from undula.llm.common import crc_mod, map_arrow, pieces, texts_of, trim
 from undula.llm.words import mix
 
 ORDER = 4
@@ -89,6 +89,7 @@ def count_grams(train: DataFrame) -> DataFrame:
             squeeze(lang)
             k, n = kept[lang][0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        trim()
 
     rows = train.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null and text is not null")
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

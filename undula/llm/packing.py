@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm.bpe import ByteEncoder, encoder
-from undula.llm.common import materialize, pieces, texts_of
+from undula.llm.common import materialize, pieces, texts_of, trim
 
 WINDOW, UNIT, DEPTH = 2048, 32, 3
 END_ID = 1
@@ -114,6 +114,8 @@ def cut(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW,
             yield cutter.take()
         cutter.close()
         yield cutter.take()
+        enc.forget()
+        trim()
 
     return texts_of(docs).mapInArrow(run, _ITEM)
 

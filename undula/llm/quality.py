@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import map_arrow, pieces, texts_of
+from undula.llm.common import map_arrow, pieces, texts_of, trim
 from undula.llm.words import Words, grams, mix
 
 BITS, GRAM = 16, 4
@@ -60,6 +60,7 @@ def count_features(docs: DataFrame) -> DataFrame:
         on = np.flatnonzero(raw)
         if len(on):
             yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(raw[on]), pa.array(target[on])], names=["bucket", "raw", "target"])
+        trim()
 
     counts = docs.select("text", "trusted").mapInArrow(run, "bucket long, raw long, target long")
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import plan_bytes, texts_of
+from undula.llm.common import plan_bytes, texts_of, trim
 from undula.llm.words import Words, grams
 
 WINDOW, PREFIX = 20, 6
@@ -203,10 +203,12 @@ def removals(docs: DataFrame, finish, schema: str, window: int = WINDOW, prefix:
     by_group = dealt.groupBy("grp")
 
     def count(key, table):
+        trim()
         prefixes, n = _group(table, window, prefix).prefix_counts()
         return pa.table({"prefix": pa.array(prefixes.view(np.int64)), "grp": pa.array(np.full(len(n), key[0].as_py(), dtype=np.int64)), "n": pa.array(n.astype(np.int64))})
 
     def send(key, table, wanted):
+        trim()
         g, grp = _group(table, window, prefix), key[0].as_py()
         rows = [(i % groups, grp, p, None, s, n, None) for i, (p, s, n) in enumerate(g.runs(np.flatnonzero(g.lost)), start=grp)]
         if len(wanted) and len(g.at):
@@ -226,6 +228,7 @@ def removals(docs: DataFrame, finish, schema: str, window: int = WINDOW, prefix:
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SENT, strict=True)], schema=_SENT)
 
     def grow(_, table):
+        trim()
         known = pc.is_null(table.column("suffix"))
         done = table.filter(known)
         rows = list(zip(*(done.column(c).to_pylist() for c in ("grp", "place", "start", "n")), strict=True))
@@ -236,6 +239,7 @@ def removals(docs: DataFrame, finish, schema: str, window: int = WINDOW, prefix:
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("grp", "place", "start", "n"), cols, strict=True)})
 
     def end(key, table, lost):
+        trim()
         g = _group(table, window, prefix, index=False)
         cover = np.zeros(len(g.words) + window + 1, dtype=np.int64)
         if len(lost):

@@ -72,7 +72,7 @@ class Words:
             to = max(at + 1, int(np.searchsorted(self.start, base + _CHUNK)))
             start, end = self.start[at:to] - base, self.end[at:to] - base
             size = np.diff(np.append(start, end[-1]))
-            offset = np.arange(end[-1]) - np.repeat(start, size)
+            offset = np.arange(end[-1], dtype=np.int32) - np.repeat(start.astype(np.int32), size)
             terms = (self.buf[base : base + end[-1]].astype(np.uint64) + np.uint64(1)) * powers(BASES[which], int(size.max()))[0][offset]
             terms = np.append(terms, np.uint64(0))
             out[at:to] = np.add.reduceat(terms, np.stack((start, end), axis=1).ravel())[::2]
