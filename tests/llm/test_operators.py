@@ -246,7 +246,9 @@ def test_filter_drops_no_similar_pair(a, edits):
         assert lines.may_be_similar(x[None], y[None], np.array([max(len(a), len(b))]), 0.8)[0]
 
 
-def test_lines(spark, none):
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_lines(spark, none, crowd, monkeypatch):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     rnd = random.Random(1)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(300)]
     base = [" ".join(rnd.choice(words) for _ in range(rnd.randint(4, 40))) for _ in range(40)]
