@@ -290,6 +290,42 @@ def test_lines(spark, none, crowd, monkeypatch):
     assert lines.dedup(none).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", min_size=1, max_size=20), st.lists(st.tuples(st.integers(0, 20), st.sampled_from(["", "a", "b", "ac"])), max_size=4))
+def test_segments_miss_no_short_pair(a, edits):
+    b = a
+    for at, new in edits:
+        b = b[: at % (len(b) + 1)] + new + b[at % (len(b) + 1) + 1 :]
+    if b and len(b) <= lines.EXACT and lines.similar(a, b, 0.8):
+        assert set(lines.segments(a, 0.8)) & set(lines.segments(b, 0.8))
+
+
+def lines_of(rnd, n, size):
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) for _ in range(2000)]
+    return [[rnd.choice(words) for _ in range(size)] for _ in range(n)], words
+
+
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_lines_by_edit_similarity_alone(spark, crowd, monkeypatch):
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    rnd = random.Random(4)
+    texts = []
+    for size in (5, 8, 12, 20, 40):
+        base, words = lines_of(rnd, 12, size)
+        for w in base:
+            other = list(w)
+            other[rnd.randrange(size)] = rnd.choice(words)
+            texts += [" ".join(w), " ".join(other)]
+    norms = sorted(set(texts))
+    want = [(a, b) for a in range(len(norms)) for b in range(a) if lines.similar(norms[a], norms[b], 0.8)]
+    group = dict(zip(*(x.tolist() for x in forest(*map(np.array, zip(*want, strict=True)))), strict=True))
+    should = len(group) - len(set(group.values()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = df.count() - lines.dedup(df, radius=None).filter("n_removed = 0").count()
+    narrow = df.count() - lines.dedup(df).filter("n_removed = 0").count()
+    assert should > 40 and 0.9 * should <= whole <= should and narrow < 0.5 * should
+
+
 def test_verified_of_a_crowd(monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", 10)
     rnd = random.Random(2)
