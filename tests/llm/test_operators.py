@@ -326,6 +326,19 @@ def test_lines_by_edit_similarity_alone(spark, crowd, monkeypatch):
     assert should > 40 and 0.9 * should <= whole <= should and narrow < 0.5 * should
 
 
+def test_short_lines_and_text_without_spaces(spark):
+    long = "".join(chr(0x4E00 + 37 * i % 900) for i in range(60))
+    rows = [(1, f"Menu\n{long}\nAll rights reserved.\n--"), (2, f"menu\nother text\nall rights reserved\n--\n\n{long[:30]}龘{long[31:]}"), (3, "\nMENU!\nHome")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup(df, radius=None, min_words=1).collect()}
+    assert got == {1: rows[0][1], 2: "other text\n--\n", 3: "\nHome"}
+
+
+def test_queries_judge_short_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "Menu\nx y"), (2, "menu\nz")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op6_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
 def test_verified_of_a_crowd(monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", 10)
     rnd = random.Random(2)

@@ -41,7 +41,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents"), radius=None, digest=True)
+    return lines.dedup(table(spark, sf_dir, "documents"), radius=None, min_words=1, digest=True)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
