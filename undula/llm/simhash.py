@@ -293,6 +293,11 @@ def survivors(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = components(near(own.select("fp", F.col("fp").alias("node")), radius))
     group = materialize(own.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")))
+    return stand_for(docs, marked, prints, group)
+
+
+def stand_for(docs: DataFrame, marked: DataFrame, prints: DataFrame, group: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their component. marked: docs with _doc and _row; prints: doc_id, _row, fp; group: fp, component."""
     rows = prints.groupBy("fp", "doc_id", "_row").agg(F.count("*").alias("n")).join(group, "fp")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     rows = materialize(rows.withColumn("order", order).select("component", "order", "n"))
