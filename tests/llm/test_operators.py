@@ -92,7 +92,7 @@ def test_media_round_trip(payload, chunk, sync):
     (track,), error = media.read_tracks(content)
     assert error is None and media.read_payload(content, track) == payload
     assert (track.codec, track.handler, track.n_samples, track.duration, track.timescale) == ("raw ", "soun", len(payload), len(payload), media.RATE)
-    assert [(s, content[at : at + n]) for s, at, n in track.keyframes] == [(s, payload[s : s + 1]) for s in range(0, len(payload), sync)]
+    assert [(s, content[at : at + n]) for s, at, n, _ in track.keyframes] == [(s, payload[s : s + 1]) for s in range(0, len(payload), sync)]
 
 
 def test_media_of_other_layouts():
@@ -101,12 +101,17 @@ def test_media_of_other_layouts():
     stbl = box(b"stbl", box(b"stsd", struct.pack(">II", 0, 1), struct.pack(">I4s", 8, b"abcd")), box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 2, 1)), stz2, box(b"co64", struct.pack(">IIQQ", 0, 2, 100, 200)))
     (track,), error = media.read_tracks(struct.pack(">I4sQ", 1, b"moov", 16 + len(box(b"trak", stbl))) + box(b"trak", stbl))
     assert error is None and track.runs == [(100, 3), (200, 3)] and track.n_samples == 3
+    # without a table of sync samples every sample is a keyframe with its own range; samples of one size are one entry a chunk
+    assert track.keyframes == [(0, 100, 1, 1), (1, 101, 2, 1), (2, 200, 3, 1)] and track.n_keyframes == 3
+    even = media.box(b"stbl", box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 2, 1)), box(b"stsz", struct.pack(">III", 0, 4, 3)), box(b"stco", struct.pack(">IIII", 0, 2, 100, 200)))
+    (track,), _ = media.read_tracks(box(b"moov", box(b"trak", even)))
+    assert track.keyframes == [(0, 100, 4, 2), (2, 200, 4, 1)] and track.n_keyframes == 3
     tkhd = box(b"tkhd", struct.pack(">IIII", 0, 0, 0, 9))
     moof = box(b"moof", box(b"traf", box(b"tfhd", struct.pack(">III", 0x20, 9, 0x10000)), box(b"trun", struct.pack(">IIiIIIII", 0x305, 2, 64, 0, 5, 7, 5, 8))))
     content = box(b"moov", box(b"trak", tkhd)) + moof
     (track,), error = media.read_tracks(content)
     start = len(content) - len(moof) + 64
-    assert error is None and track.keyframes == [(0, start, 7)] and track.runs == [(start, 15)] and track.duration == 10
+    assert error is None and track.keyframes == [(0, start, 7, 1)] and track.runs == [(start, 15)] and track.duration == 10
     assert media.read_tracks(b"\0\0\0\x04free")[1] and media.read_tracks(b"") == ([], None)
 
 
@@ -233,6 +238,42 @@ def test_distance(a, b):
             new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
         row = new
     assert lines.distance(a, b) == row[-1]
+    for most in (0, 2, 5):
+        assert lines.distance(a, b, most) == row[-1] if row[-1] <= most else lines.distance(a, b, most) > most
+        assert not lines.at_most(a, b, most) or row[-1] <= most
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10**6))
+def test_distances_side_by_side(seed):
+    rnd = random.Random(seed)
+    pairs = []
+    for _ in range(60):
+        a = "".join(rnd.choice("abcdeé日 ") for _ in range(rnd.choice([3, 30, 63, 64, 65, 130, 300])))
+        b = "".join(c if rnd.random() > 0.15 else rnd.choice(["", "x", c + "y"]) for c in a)
+        pairs.append((a, b) if rnd.random() < 0.8 else (a, b[::-1]))
+    most = np.array([rnd.randint(0, 80) for _ in pairs])
+    assert lines.within(pairs, most).tolist() == [lines.distance(a, b) <= k for (a, b), k in zip(pairs, most.tolist(), strict=True)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcdef gé", min_size=25, max_size=70), min_size=1, max_size=3), st.lists(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 70), st.integers(0, 70), st.sampled_from(["", "a", "éb"])), max_size=20), max_size=5))
+def test_groups_of_lines_against_all_pairs(base, plan):
+    groups = []
+    for edits in plan:
+        own = [base[k % len(base)] for k, *_ in edits]
+        groups.append([t[: a % len(t)] + new + t[a % len(t) + 1 : b] + t[b + 1 :] for t, (_, a, b, new) in zip(own, edits, strict=True)])
+
+    def parts(group, pairs):
+        label = list(range(len(group)))
+        for x, y in pairs:
+            label = [label[x] if k == label[y] else k for k in label]
+        return sorted(sorted(i for i, k in enumerate(label) if k == v) for v in set(label))
+
+    for group in groups:
+        pairs = lines.alike(group, 0.8, [[1, 5]] * len(group))
+        every = [(x, y) for x in range(len(group)) for y in range(x) if max(map(len, (group[x], group[y]))) * 0.2 + 1e-6 >= lines.distance(group[x], group[y])]
+        assert parts(group, pairs) == parts(group, every)
 
 
 @settings(max_examples=150, deadline=None)
@@ -246,6 +287,21 @@ def test_filter_drops_no_similar_pair(a, edits):
         assert lines.may_be_similar(x[None], y[None], np.array([max(len(a), len(b))]), 0.8)[0]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abcé日 ", min_size=17, max_size=90), min_size=1, max_size=8), st.sampled_from([(10, 1, 4), (12, 2, 5), (8, 3, 2)]))
+def test_smallest_grams(texts, scheme):
+    gram, rows, many = scheme
+    texts = [t.encode() for t in texts]
+    buf, size = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts])
+    got = lines.smallest_grams(buf, size, gram, rows, np.full(len(texts), many))
+    keys = [sorted(got[1][got[0] == i].tolist()) for i in range(len(texts))]
+    for i, t in enumerate(texts):
+        own = sorted({int(x) >> 16 for x in lines._gram_hashes(np.frombuffer(t, dtype=np.uint8), gram)[: len(t) - gram + 1]})
+        assert len(keys[i]) == max(1, min(many, len(own) - rows + 1))
+        alone = lines.smallest_grams(np.frombuffer(t, dtype=np.uint8), np.array([len(t)]), gram, rows, np.array([many]), 1e9)
+        assert sorted(alone[1].tolist()) == keys[i]  # neither its neighbours nor the limit matter
+
+
 @pytest.mark.parametrize("crowd", [4096, 1])
 def test_lines(spark, none, crowd, monkeypatch):
     monkeypatch.setattr(lines, "CROWD", crowd)

@@ -64,5 +64,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = e.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
+    return _labels(e)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
+    return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

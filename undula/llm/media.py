@@ -1,7 +1,8 @@
 """ISO base media columns: walk boxes, decode sample tables, list codec, duration and keyframe byte ranges; payload bytes are never decoded.
 
 `read_tracks` takes any bytes. Boxes nest to any depth that the file's own sizes allow; 64-bit sizes, a last box of size 0, stz2, co64 and fragments (moof,
-trun) are read. Damaged files give what could be read and an error text. `write_audio` stores a payload losslessly as unsigned 8-bit samples.
+trun) are read. A keyframe entry is a sample, its offset and size, and how many samples of that size stand one behind the other from there (1 unless all samples
+have one size and all are keyframes). Damaged files give what could be read and an error text. `write_audio` stores a payload losslessly as unsigned 8-bit samples.
 
 Null text counts as empty (one unit of zero bytes). Repeated rows give repeated results; columns other than doc_id and text are ignored.
 """
@@ -38,7 +39,7 @@ class Track:
     duration: int = 0
     n_samples: int = 0
     runs: list[tuple[int, int]] = field(default_factory=list)  # byte ranges of all samples, neighbours merged
-    keyframes: list[tuple[int, int, int]] = field(default_factory=list)  # first sample (0-based), offset, size, up to the sample itself
+    keyframes: list[tuple[int, int, int, int]] = field(default_factory=list)  # sample (0-based), offset, size, and how many samples of that size follow one another from it on
     n_keyframes: int = 0
 
 
@@ -83,7 +84,7 @@ class _Tables:
         self.size, self.sizes, self.n = 0, None, 0
 
     def fill(self, track: Track) -> None:
-        """Runs through the chunks; samples of one size in one chunk are never listed one by one unless they are keyframes."""
+        """Runs through the chunks; samples of one fixed size are never listed one by one. Without a table of sync samples every sample is a keyframe."""
         per = {}
         for (first, count, _), (until, *_) in zip(self.stsc, [*self.stsc[1:], (len(self.offsets) + 1, 0, 0)], strict=True):
             per[first] = (until, count)
@@ -107,12 +108,15 @@ class _Tables:
                 else:
                     track.runs.append((start, length))
                 if sync is None:
-                    track.keyframes.append((sample, start, length))
+                    if starts:
+                        track.keyframes += [(sample + i, start + starts[i], starts[i + 1] - starts[i], 1) for i in range(count_here)]
+                    else:
+                        track.keyframes.append((sample, start, self.size, count_here))
                     track.n_keyframes += count_here
                 else:
                     while next_sync < len(sync) and sync[next_sync] < sample + count_here:
                         i = sync[next_sync] - sample
-                        track.keyframes.append((sync[next_sync], start + (starts[i] if starts else i * self.size), (starts[i + 1] - starts[i]) if starts else self.size))
+                        track.keyframes.append((sync[next_sync], start + (starts[i] if starts else i * self.size), (starts[i + 1] - starts[i]) if starts else self.size, 1))
                         track.n_keyframes += 1
                         next_sync += 1
                 sample += count_here
@@ -199,7 +203,7 @@ def _run(data, at: int, fragment: dict) -> None:
         else:
             track.runs.append((offset, x["size"]))
         if not x["flags"] & 0x10000:
-            track.keyframes.append((track.n_samples, offset, x["size"]))
+            track.keyframes.append((track.n_samples, offset, x["size"], 1))
             track.n_keyframes += 1
         track.n_samples += 1
         track.duration += x["duration"]
@@ -242,20 +246,20 @@ def write_audio(payload: bytes, rate: int = RATE, chunk: int = CHUNK, sync: int
     return ftyp + moov(head) + box(b"mdat", payload)
 
 
-TRACK_SCHEMA = "track_id: long, codec: string, handler: string, timescale: long, duration: long, seconds: double, n_samples: long, n_keyframes: long, keyframes: array<struct<sample: long, offset: long, size: long>>"
+TRACK_SCHEMA = "track_id: long, codec: string, handler: string, timescale: long, duration: long, seconds: double, n_samples: long, n_keyframes: long, keyframes: array<struct<sample: long, offset: long, size: long, count: long>>"
 
 
 def probe(media: DataFrame, column: str = "content") -> DataFrame:
     """media with tracks (array of structs) and media_error columns in place of the content, whose payload is not decoded."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name not in (column, "tracks", "media_error"))
     keep = [f.name for f in media.schema if f.name not in (column, "tracks", "media_error")]
-    track_type = pa.struct([("track_id", pa.int64()), ("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframes", pa.list_(pa.struct([("sample", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])))])
+    track_type = pa.struct([("track_id", pa.int64()), ("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframes", pa.list_(pa.struct([("sample", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("count", pa.int64())])))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tracks, errors = [], []
         for content in batch.column(column).to_pylist():
             found, error = read_tracks(content) if content is not None else ([], None)
-            tracks.append([{"track_id": t.track_id, "codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "seconds": t.duration / t.timescale if t.timescale else None, "n_samples": t.n_samples, "n_keyframes": t.n_keyframes, "keyframes": [dict(zip(("sample", "offset", "size"), k, strict=True)) for k in t.keyframes]} for t in found])
+            tracks.append([{"track_id": t.track_id, "codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "seconds": t.duration / t.timescale if t.timescale else None, "n_samples": t.n_samples, "n_keyframes": t.n_keyframes, "keyframes": [dict(zip(("sample", "offset", "size", "count"), k, strict=True)) for k in t.keyframes]} for t in found])
             errors.append(error)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tracks, pa.list_(track_type)), pa.array(errors, pa.string())], names=[*keep, "tracks", "media_error"])
 

@@ -51,7 +51,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.judge(docs, quality.fit(docs, labels))
+    return quality.judge(docs, quality.fit(docs, labels)).withColumn("llr", F.round("llr", 6))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +77,23 @@ kept AS (SELECT doc_id, count(gone.p) AS n_removed, string_agg(word.x, ' ' ORDER
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
+#: The n-gram ratios over all four-byte runs of all texts, as long as labels name at most quality.TRUSTED trusted documents.
+OP8_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS trusted FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+tri AS (SELECT r, p, array_to_string(ws[p + 1 : p + 3], ' ') AS g FROM (SELECT r, ws, unnest(range(greatest(len(ws) - 2, 0))) AS p FROM w)),
+again AS (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM (SELECT r, p FROM tri QUALIFY count(*) OVER (PARTITION BY r, g) > 1)),
+repeated AS (SELECT r, count(DISTINCT q) AS n FROM again GROUP BY 1),
+x AS (SELECT r, trusted, hex(encode(chr(10) || t || chr(10))) AS x FROM d),
+f AS (SELECT r, trusted, unnest(regexp_extract_all(substr(x, 2 * o + 1), '.{{8}}')) AS g FROM x, range({quality.GRAM}) offsets(o)),
+g AS (SELECT g, CAST(CAST('0x' || g AS UBIGINT)::HUGEINT * {0x9E3779B97F4A7C15} % {1 << 64} // {1 << 64 - quality.BITS} AS BIGINT) AS bucket, count(*) AS raw, count(*) FILTER (trusted) AS target FROM f GROUP BY g),
+b AS (SELECT bucket, sum(raw) AS raw, sum(target) AS target FROM g GROUP BY 1), s AS (SELECT sum(raw) AS raw, sum(target) AS target FROM b),
+ratio AS (SELECT bucket, CASE WHEN s.target = 0 THEN 0 ELSE ln((b.target + {quality.SMOOTHING}) / (b.raw * (s.target / s.raw) + {quality.SMOOTHING})) END AS v FROM b, s),
+llr AS (SELECT r, sum(v) / count(*) AS llr FROM f JOIN g USING (g) JOIN ratio USING (bucket) GROUP BY 1),
+base AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN w USING (r) LEFT JOIN repeated USING (r)),
+j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed, coalesce(llr, 0) AS v FROM base LEFT JOIN llr USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(v, 6) AS llr, NOT base_failed AND v >= {quality.THRESHOLD} AS kept FROM j"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL}
+    return {"op3_substring": OP3_SQL, "op8_quality": OP8_SQL}
