@@ -187,3 +187,16 @@ def test_report(spark):
 def test_entry_imports_without_the_subpackage():
     source = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")).read()
     assert re.search(r"except ModuleNotFoundError", source)
+
+
+@pytest.mark.parametrize("flags", [{}, {"purge_empty": True, "compare_warped": True}, {"recat_single": True, "deprioritize_lone": True}])
+def test_remembered_comparisons_change_nothing(flags, monkeypatch):
+    rnd = np.random.default_rng(5)
+    base = [rnd.random(n) * 200 + 50 for n in (8, 12, 20, 24)]
+    contours = [base[i % 4] * (1 + rnd.normal(0, 0.06, len(base[i % 4]))) for i in range(36)]
+    p = art.Params(vigilance=92, seed=4, max_categories=12, max_iterations=8, **flags)
+    a = art.Fold(contours, p).fit()
+    monkeypatch.setattr(art, "REMEMBERED", 0)
+    b = art.Fold(contours, p).fit()
+    assert a.history == b.history and (a.category == b.category).all() and (a.match == b.match).all()
+    assert all(np.array_equal(x, y) for x, y in zip(a.weights, b.weights, strict=True)) and a.points > 0 == b.points

@@ -6,6 +6,8 @@ only runs of one input point are limited (by the warp factor level w).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Cells of one warp's table at most, and of one batch of warps.
@@ -25,18 +27,15 @@ def length_ratio(m, n):
     return np.where(low > 1, np.maximum(m, n) / np.maximum(low - 1, 1), np.inf)
 
 
-def _bands(i: int, m: np.ndarray, n: np.ndarray, w: int, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns that row i may use, and the run length from which a vertical step is forbidden, both by pair and column."""
+@lru_cache(maxsize=4096)
+def _band(m: int, n: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last column that each row of a table of m x n may use."""
+    i = np.arange(m)
     reach = (i - m) / w + n
-    early = i < np.minimum(w * (w + 1) - 1, m)
-    first = (cols < w) & (i // w <= cols + 1)
-    rest = (cols >= w) & (cols <= np.minimum(w * i, np.trunc(reach))[:, None])
-    lo = np.maximum(np.maximum(0, (i + 1) // w - 1), (i - m) * w + n)
-    hi = np.minimum(w * (i + 1), np.round(reach)) - 1
-    general = (cols >= lo[:, None]) & (cols <= hi[:, None])
-    allowed = np.where(early[:, None], first | rest, general) & (cols < n[:, None]) & (i < m)[:, None]
-    limit = np.where(early[:, None] & (cols == 0), w + 1, w)
-    return allowed, limit
+    early = i < min(w * (w + 1) - 1, m)
+    lo = np.where(early, np.maximum(0, i // w - 1), np.maximum(np.maximum(0, (i + 1) // w - 1), (i - m) * w + n))
+    hi = np.where(early, np.maximum(w - 1, np.minimum(w * i, np.trunc(reach))), np.minimum(w * (i + 1), np.round(reach)) - 1)
+    return lo, np.minimum(hi, n - 1).astype(np.int64)
 
 
 def _batch(refs: list[np.ndarray], inputs: list[np.ndarray], w: int) -> list[tuple[float, np.ndarray]]:
@@ -44,42 +43,38 @@ def _batch(refs: list[np.ndarray], inputs: list[np.ndarray], w: int) -> list[tup
     n = np.array([len(x) for x in inputs])
     size, rows, width = len(refs), int(m.max()), int(n.max())
     a, b = np.ones((size, rows)), np.ones((size, width))
+    lo, hi = np.ones((rows, size, 1), dtype=np.int32), np.zeros((rows, size, 1), dtype=np.int32)  # rows past a reference's end allow no column
     for k, (r, x) in enumerate(zip(refs, inputs, strict=True)):
         a[k, : len(r)], b[k, : len(x)] = r, x
-    cols = np.arange(width)[None, :]
+        lo[: len(r), k, 0], hi[: len(r), k, 0] = _band(len(r), len(x), w)
+    early = np.minimum(w * (w + 1) - 1, m)
+    cols = np.arange(width, dtype=np.int32)[None, :]
     steps = np.zeros((rows, size, width), dtype=np.int8)
     best = np.full((size, width), _LOW)
     best[:, 0] = point_similarity(a[:, 0], b[:, 0])
     run = np.ones((size, width), dtype=np.int32)
     end = np.where(m == 1, best[np.arange(size), n - 1], _LOW)
     for i in range(1, rows):
-        allowed, limit = _bands(i, m, n, w, cols)
-        top = np.where(run >= limit, _LOW, best)
-        step = np.zeros((size, width), dtype=np.int8)
+        top = np.where(run >= w, _LOW, best)
+        top[:, 0] = np.where(run[:, 0] >= np.where(i < early, w + 1, w), _LOW, best[:, 0])
+        step = steps[i]
         for s in range(1, min(w, width - 1) + 1):
-            other = np.full((size, width), _LOW)
-            other[:, s:] = best[:, :-s]
-            better = other > top  # strict: of equals the smallest step stays
-            top = np.where(better, other, top)
-            step[better] = s
-        top = np.where(allowed, top, _LOW)
-        set_ = top > _LOW
-        run = np.where(set_ & (step == 0), run + 1, 1)
-        best = np.where(set_, top + point_similarity(a[:, i : i + 1], b), _LOW)
-        steps[i] = np.where(set_, step, 0)
-        last = m == i + 1
-        if last.any():
-            k = np.flatnonzero(last)
-            end[k] = best[k, n[k] - 1]
-    out = []
-    for k in range(size):
-        warp = np.empty(m[k], dtype=np.int32)
-        j = n[k] - 1
-        for i in range(m[k] - 1, -1, -1):
-            warp[i] = j
-            j -= steps[i, k, j]
-        out.append((float(end[k] / m[k]) if end[k] > _LOW else 0.0, warp))
-    return out
+            better = best[:, :-s] > top[:, s:]  # strict: of equals the smallest step stays
+            np.copyto(top[:, s:], best[:, :-s], where=better)
+            np.copyto(step[:, s:], s, where=better)
+        reached = (cols >= lo[i]) & (cols <= hi[i]) & (top > _LOW)
+        run = np.where(reached & (step == 0), run + 1, 1)
+        step *= reached
+        best = np.where(reached, top + point_similarity(a[:, i : i + 1], b), _LOW)
+        last = np.flatnonzero(m == i + 1)
+        if len(last):
+            end[last] = best[last, n[last] - 1]
+    # all paths go back together, each from its own last row
+    warps, j, every = np.zeros((size, rows), dtype=np.int32), n - 1, np.arange(size)
+    for i in range(rows - 1, -1, -1):
+        warps[:, i] = j
+        j = np.where(i < m, j - steps[i, every, j], j)
+    return [(float(end[k] / m[k]) if end[k] > _LOW else 0.0, warps[k, : m[k]].copy()) for k in range(size)]
 
 
 def _short_diagonal(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:

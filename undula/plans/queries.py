@@ -198,11 +198,16 @@ def identity_match(spark, sf_dir):
 
 
 _W = 3
-_DTW = f"""{_EMB}, pr AS (SELECT contour_id, category, weight AS a, freq AS b, len(weight) AS m, len(freq) AS n FROM emb, proto),
-dp AS (SELECT contour_id, category, a, b, m, n, 0 AS i, list_transform(range(n), lambda j: CASE WHEN j = 0 THEN least(a[1], b[1]) / greatest(a[1], b[1]) * 100 END) AS v, list_transform(range(n), lambda j: 1) AS k FROM pr
+
+
+def _dtw(pairs: str) -> str:
+    """SQL of the warp of every row of `pairs` (contour_id, freq, category, weight): dp (a row of each table a row), dtw (similarity)."""
+    return f"""{_EMB}, pr AS (SELECT contour_id, category, weight AS a, freq AS b, len(weight) AS m, len(freq) AS n FROM {pairs}),
+dp AS (SELECT contour_id, category, a, b, m, n, 0 AS i, list_transform(range(n), lambda j: CASE WHEN j = 0 THEN least(a[1], b[1]) / greatest(a[1], b[1]) * 100 END) AS v, list_transform(range(n), lambda j: 1) AS k, list_transform(range(n), lambda j: 0) AS p FROM pr
 UNION ALL SELECT contour_id, category, a, b, m, n, i,
-  list_transform(range(n), lambda j: c[j + 1].top + least(a[i + 1], b[j + 1]) / greatest(a[i + 1], b[j + 1]) * 100), list_transform(range(n), lambda j: CASE WHEN c[j + 1].s0 = c[j + 1].top THEN k[j + 1] + 1 ELSE 1 END)
-FROM (SELECT *, list_transform(s, lambda x: {{'s0': x.s0, 'top': greatest(x.s0, x.s1, x.s2, x.s3)}}) AS c
+  list_transform(range(n), lambda j: c[j + 1].top + least(a[i + 1], b[j + 1]) / greatest(a[i + 1], b[j + 1]) * 100), list_transform(range(n), lambda j: CASE WHEN c[j + 1].s0 = c[j + 1].top THEN k[j + 1] + 1 ELSE 1 END),
+  list_transform(range(n), lambda j: CASE c[j + 1].top WHEN c[j + 1].s0 THEN 0 WHEN c[j + 1].s1 THEN 1 WHEN c[j + 1].s2 THEN 2 WHEN c[j + 1].s3 THEN 3 ELSE 0 END)
+FROM (SELECT *, list_transform(s, lambda x: {{'s0': x.s0, 's1': x.s1, 's2': x.s2, 's3': x.s3, 'top': greatest(x.s0, x.s1, x.s2, x.s3)}}) AS c
 FROM (SELECT contour_id, category, a, b, m, n, i, v, k, list_transform(range(n), lambda j: CASE WHEN
     CASE WHEN i < least({_W * (_W + 1) - 1}, m) THEN (j < {_W} AND i // {_W} <= j + 1) OR (j >= {_W} AND j <= least({_W} * i, trunc((i - m) / {_W} + n)))
     ELSE j >= greatest(0, (i + 1) // {_W} - 1, (i - m) * {_W} + n) AND j < least({_W} * (i + 1), round_even((i - m) / {_W} + n, 0)) END
@@ -211,6 +216,17 @@ FROM (SELECT contour_id, category, a, b, m, n, i + 1 AS i, v, k FROM dp WHERE i
 dtw AS (SELECT contour_id, category, coalesce(v[n], 0) / m AS similarity FROM dp WHERE i = m - 1)"""
 
 
+_DTW = _dtw("emb, proto")
+#: The steps of a pair's rows, and the path that they give from the last row back.
+_PATH = f"""{_DTW}, st AS (SELECT contour_id, category, any_value(a) AS a, any_value(b) AS b, any_value(m) AS m, any_value(n) AS n, list(p ORDER BY i) AS p FROM dp GROUP BY 1, 2),
+back AS (SELECT *, list_reduce([[n - 1]] || list_transform(range(m - 1), lambda x: [m - 1 - x]), lambda path, x: list_append(path, path[-1] - p[x[1] + 1][path[-1] + 1])) AS path FROM st),
+cells AS (SELECT contour_id, category, a, b, m, unnest(path) AS j, unnest(range(m)) AS r FROM back)
+SELECT contour_id, category, CAST(m - 1 - r AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(least(a[m - r], b[j + 1]) / greatest(a[m - r], b[j + 1]) * 100, 6) AS similarity FROM cells"""
+#: The best prototype along the warp; on a path that reaches the end the match is the similarity.
+_PREDICTED = f"""SELECT contour_id, CAST(CASE WHEN match > {VIGILANCE} THEN category END AS DOUBLE) AS category, round(match, 6) AS match
+FROM (SELECT contour_id, arg_max(category, struct_pack(s := similarity, c := -category)) AS category, max(similarity) AS match FROM dtw GROUP BY 1)"""
+
+
 def _compared(spark, sf_dir):
     return pairs.compare(emb(spark, sf_dir), prototypes(spark, sf_dir), _W)
 
@@ -220,7 +236,7 @@ def dtw_similarity(spark, sf_dir):
     return _compared(spark, sf_dir).select("contour_id", "category", *six("similarity"))
 
 
-@query()
+@query(_PATH)
 def dtw_path(spark, sf_dir):
     return pairs.path_rows(_compared(spark, sf_dir), "contour_id", "category").select("contour_id", "category", "i", "j", *six("similarity"))
 
@@ -240,7 +256,7 @@ def predict_identity(spark, sf_dir):
     return assigned(spark, sf_dir).select("contour_id", _nullable(), *six("match"))
 
 
-@query()
+@query(f"{_DTW} {_PREDICTED}")
 def predict_vigilance(spark, sf_dir):
     return predict.predict(emb(spark, sf_dir), prototypes(spark, sf_dir), VIGILANCE).select("contour_id", _nullable(), *six("match"))
 
@@ -251,7 +267,7 @@ def first_resonance(spark, sf_dir):
     return predict.first_resonating(predict.rank(identity(spark, sf_dir)), VIGILANCE).select("contour_id", _nullable(), *six("match"))
 
 
-_PROTO_DTW = _DTW.replace("FROM emb, proto)", "FROM (SELECT category AS contour_id, weight AS freq FROM proto) e, proto)", 2).replace("FROM (SELECT category AS contour_id, weight AS freq FROM proto) e, proto)", "FROM emb, proto)", 1)
+_PROTO_DTW = _dtw("(SELECT category AS contour_id, weight AS freq FROM proto) e, proto")
 
 
 @query(f"{_PROTO_DTW} SELECT category AS i, contour_id AS j, round(CASE WHEN category = contour_id THEN 100 ELSE similarity END, 6) AS similarity FROM dtw")
@@ -405,7 +421,16 @@ def most_impure(spark, sf_dir):
     return agreement.most_impure(agreement.category_purity(assigned(spark, sf_dir), "label", "category")).select("category", *six("purity"))
 
 
-@query()
+#: The best total over one-to-one namings, category by category, for every set of labels that may be used up.
+_NAMING = f"""{_ASSIGNED}, t AS (SELECT label AS a, category AS b, count(*) AS n FROM assigned WHERE category IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2),
+la AS (SELECT a, row_number() OVER (ORDER BY a) AS i FROM (SELECT DISTINCT a FROM t)), lb AS (SELECT b, row_number() OVER (ORDER BY b) AS k FROM (SELECT DISTINCT b FROM t)),
+g AS (SELECT k, list(coalesce(n, 0) ORDER BY i) AS w FROM la CROSS JOIN lb LEFT JOIN t USING (a, b) GROUP BY k),
+h AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range(CAST(pow(2, count(*)) AS BIGINT)), lambda x: CAST(0 AS BIGINT)) AS v FROM la
+UNION ALL SELECT g.k, list_transform(range(len(v)), lambda m: greatest(v[m + 1], list_max(list_transform(range(len(w)), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN v[m - (1 << i) + 1] + w[i + 1] END)))) FROM h JOIN g ON g.k = h.k + 1)
+SELECT coalesce(v[-1] / (SELECT sum(n) FROM t), 0) AS accuracy, v[-1] AS n_agreeing FROM h ORDER BY k DESC LIMIT 1"""
+
+
+@query(_NAMING)
 def hungarian_accuracy(spark, sf_dir):
     return agreement.best_match_accuracy(assigned(spark, sf_dir), "label", "category")
 
@@ -473,8 +498,8 @@ def prototype_dendrogram(spark, sf_dir):
 
 
 def _trained(spark, sf_dir, **flags):
-    grid = {f"v{v:g}s{s}": art.Params(vigilance=v, seed=s, max_categories=40, max_iterations=4, **flags) for v in (TRAINING,) for s in (1, 2)}
-    return art.fit(events(spark, sf_dir).withColumn("freq", fc.cap_length(F.col("freq"), 24)), grid)
+    """Two runs over all event contours as they are, with the default limits on categories and iterations."""
+    return art.fit(events(spark, sf_dir), {f"v{TRAINING:g}s{s}": art.Params(vigilance=TRAINING, seed=s, **flags) for s in (1, 2)})
 
 
 @query()
@@ -497,11 +522,19 @@ def run_stability(spark, sf_dir):
     return summaries.run_stability(art.meta(_trained(spark, sf_dir, compare_warped=True)))
 
 
-@query()
+def _sql_spread(values: str, length: str) -> str:
+    """SQL of values at evenly spaced positions, ends kept."""
+    return f"list_transform(range({length}), lambda p: {_lerp(values, f'(p * CAST(len({values}) - 1 AS DOUBLE) / ({length} - 1))')})"
+
+
+_HALVED = f"""(SELECT contour_id, {_sql_spread("freq", "CAST(round_even(1 + (len(freq) - 1) / 2.0, 0) AS BIGINT)")} AS freq FROM emb) e, (SELECT category, CASE WHEN len(weight) > 32 THEN {_sql_spread("weight", "32")} ELSE weight END AS weight FROM proto) p"""
+
+
+@query(f"{_dtw(_HALVED)} {_PREDICTED}")
 def flagship(spark, sf_dir):
     """Scan, resample, warp against the prototypes, take the best, assign above vigilance."""
     e = emb(spark, sf_dir).select("contour_id", fc.resample(F.col("freq"), F.lit(0.005), F.lit(0.01)).alias("freq"))
-    return predict.predict(e, prototypes(spark, sf_dir).withColumn("weight", fc.cap_length(F.col("weight"), 32)), VIGILANCE)
+    return predict.predict(e, prototypes(spark, sf_dir).withColumn("weight", fc.cap_length(F.col("weight"), 32)), VIGILANCE).select("contour_id", _nullable(), *six("match"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
