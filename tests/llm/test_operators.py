@@ -518,7 +518,7 @@ def test_mined_rules(spark):
     rnd = random.Random(4)
     host = lambda bad: ("win-casino" if bad else rnd.choice(["blog", "news", "casino"])) + rnd.choice([".a", ".b", ".c"]) + ".com"
     rows = [(f"http://{host(b)}/{rnd.choice(['en', 'de'])}/{rnd.randint(1, 99)}", b) for b in [i % 6 == 0 for i in range(400)]]
-    rules = urls.mine(spark.createDataFrame([*rows, (None, True), ("http://x.com/", None)], "url string, bad boolean"))
+    rules = urls.mine(urls.labelled_tokens(spark.createDataFrame([*rows, (None, True), ("http://x.com/", None)], "url string, bad boolean")))
     assert [r.tokens for r in rules if r.tokens == ("w:win",)] == [("w:win",)]
     index = urls.Index(rules)
     for url, bad in rows:
@@ -527,10 +527,23 @@ def test_mined_rules(spark):
         assert (index.match(url) is not None) == bool(plain) == bad
     pages = spark.createDataFrame([(1, "http://win-casino.d.com/fr/1"), (2, "http://blog.d.com/fr/1")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()} == {1: "block", 2: "allow"}
-    assert urls.mine(spark.createDataFrame([], "url string, bad boolean")) == []
+    nothing = urls.labelled_tokens(spark.createDataFrame([], "url string, bad boolean"))
+    assert urls.mine(nothing) == [] and urls.rare(nothing).isEmpty()
     assert queries.op9_urls(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
 
 
+def test_rare_tokens(spark):
+    """Twelve bad pages of one host are a rule however many other pages there are; support alone would need more of them."""
+    rows = [(f"http://h{i % 700}.com/{i % 50}", False) for i in range(7000)] + [(f"http://pills.biz/x{i}", True) for i in range(12)] + [("http://mixed.biz/", i % 3 == 0) for i in range(30)]
+    items = urls.labelled_tokens(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert urls.mine(items, support=0.01) == []
+    rare = urls.rare(items)
+    assert {r.token for r in rare.collect()} == {"h:pills.biz", "w:pills", "p:x0"}
+    pages = spark.createDataFrame([(1, "http://www.pills.biz/new"), (1, "http://www.pills.biz/new"), (2, "http://mixed.biz/"), (3, None), (4, "https://pills.biz.net/")], "page_id long, url string")
+    got = sorted((r.page_id, r.verdict, r.mined) for r in urls.judge(pages, [], rare).collect())
+    assert got == [(1, "block", "w:pills"), (1, "block", "w:pills"), (2, "allow", None), (3, "allow", None), (4, "block", "w:pills")]
+
+
 # 10 ---------------------------------------------------------------------------------------------------------------------------------------------------------
 
 

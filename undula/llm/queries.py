@@ -56,7 +56,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    return urls.judge(pages, urls.mine(urls.labelled_pages(pages, labels)))
+    items = urls.labelled_tokens(urls.labelled_pages(pages, labels))
+    return urls.judge(pages, urls.mine(items), urls.rare(items))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

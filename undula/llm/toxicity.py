@@ -7,7 +7,8 @@ between these, so that blocks are never too short to be compressed. The gain of
 the toxic one. A text's score is a logistic function, fitted on labelled texts kept apart from the dictionaries, of how many distinct windows reach each of a
 few gains.
 
-At most `toxic` + `ordinary` labelled rows are sampled, in the order of a hash of their id; near copies among them count once. Every window of every text is
+So the toxic dictionary holds what a test of single words tells about toxic texts; toxicity that only combinations of ordinary words carry is not scored, and
+without a telling window every text gets the prior. At most `toxic` + `ordinary` labelled rows are sampled, in the order of a hash of their id; near copies among them count once. Every window of every text is
 scored. Null and empty texts have no window and get the score of none. If either class has no sample every score is the prior (0 without labels). A document
 labelled more than once counts as toxic if any row says so; repeated rows are scored alike; columns other than doc_id and text are never looked at.
 """
@@ -29,6 +30,8 @@ from undula.llm.common import crc_mod, map_arrow, texts_of
 
 #: Labelled rows that are fitted on, at most.
 TOXIC, ORDINARY = 3000, 5000
+#: Windows of ordinary texts that the ordinary dictionary is trained on, at most.
+PLAIN = 400_000
 #: Bytes of the dictionaries.
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 65536
 #: Gains, in bytes, that windows are counted at; their weights are calibrated.
@@ -167,7 +170,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     if not told:
         return Model(b"", b"", prior=len(toxic) / (len(toxic) + len(ordinary)))
     told = _shuffled(told * (1 + 2000 // len(told)), 1)
-    plain = _shuffled([w for t in b for w in t if not any(x in marks for x in beginnings(w))], 2)[:400_000]
+    plain = _shuffled([w for t in b for w in t if not any(x in marks for x in beginnings(w))], 2)[:PLAIN]
     model = Model(_train(told, TOXIC_BYTES), _train(plain, ORDINARY_BYTES))
     model.open()
     held = [w for i, w in enumerate(tox) if not i % 3], [w for i, w in enumerate(ord_) if not i % 3]
