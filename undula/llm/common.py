@@ -100,8 +100,9 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for plans that it can't size, the measured bytes of text."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 52:
+    """Catalyst's size estimate; for plans that it can't size or that join (where it multiplies), the measured bytes of text."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size > 1 << 52 or "Join" in plan.toString():
         size = df.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
     return size
