@@ -56,17 +56,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("low"))
         new = both.join(low, "a").select("low", "b").unionByName(low.select("low", F.col("a").alias("b"))).filter("low < b").select(F.col("low").alias("a"), "b")
-        e = materialize(new.distinct().mapInArrow(_local, "a long, b long").distinct())
+        e = materialize(new.mapInArrow(_local, "a long, b long"))  # an edge may be left in two tasks; each round that makes it again drops its repeats
         # done when no node has two roots and no root is below another
-        ends = e.select(F.col("b").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("root")).unionByName(e.select(F.col("a").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("root")))
-        loose = ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("root").alias("root")).filter("n > 1 or (n > 0 and root > 0)").limit(1).count()
+        ends = e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")))
+        loose = ends.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").limit(1).count()
         if not loose:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return _labels(e)
-
-
-def _labels(stars: DataFrame) -> DataFrame:
-    roots = stars.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
+    ends = e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")))
+    return ends.distinct()
