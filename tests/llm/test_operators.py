@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from undula.llm import components as components_
 from undula.llm import bpe, langid, lines, media, packing, quality, queries, simhash, substring, toxicity, urls
 from undula.llm.components import components, forest
 
@@ -446,7 +447,9 @@ def test_fingerprints_and_links(spark, monkeypatch):
         assert labels([at[x] for x in e.a], [at[x] for x in e.b]) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [1 << 18, 100])
+def test_components(spark, per_task, monkeypatch):
+    monkeypatch.setattr(components_, "PER_TASK", per_task)
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 400, 350), rng.integers(0, 400, 350)
     chain = [(1000 + i, 1001 + i) for i in range(200)]

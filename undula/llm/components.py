@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from undula.llm.common import materialize
 
 
+#: Edges that one task contracts; the more a task sees, the fewer rounds it takes.
+PER_TASK = 1 << 18
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node that the edges a-b touch, and the smallest node that it is connected to."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -52,11 +56,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a, b: long). Edges may repeat, point either way, or be loops."""
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
     e = materialize(e.distinct())  # no contraction yet: edges come from Python, and two Python nodes of one stage are two workers for each task
+    tasks = max(1, -(-e.count() // PER_TASK))
     for _ in range(rounds):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("low"))
         new = both.join(low, "a").select("low", "b").unionByName(low.select("low", F.col("a").alias("b"))).filter("low < b").select(F.col("low").alias("a"), "b")
-        e = materialize(new.mapInArrow(_local, "a long, b long"))  # an edge may be left in two tasks; each round that makes it again drops its repeats
+        e = materialize(new.coalesce(tasks).mapInArrow(_local, "a long, b long"))  # an edge may be left in two tasks; each round that makes it again drops its repeats
         # done when no node has two roots and no root is below another
         ends = e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")))
         loose = ends.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").limit(1).count()
