@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from undula.llm.common import materialize
 
 
-#: Edges that one task contracts; the more a task sees, the fewer rounds it takes.
-PER_TASK = 1 << 18
+#: Edges that one task contracts (16 bytes each); the more a task sees, the fewer rounds it takes.
+PER_TASK = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
