@@ -1,54 +1,24 @@
-"""Helpers that the operators share: shared storage, Arrow mapping, split rules."""
+"""Helpers that the operators share: Arrow mapping, split rules, and undula.storage's materialize."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undula.storage import materialize
+
 #: Rows of text are worked on in pieces of about this many bytes, whatever the size of the Arrow batch.
 PIECE_BYTES = 1 << 20
 #: A side of a join is broadcast up to so many rows; larger ones are shuffled.
 SMALL = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="undula-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        atexit.register(_remove, spark, path)
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception as e:  # the session may have ended; what is left lies in the shared scratch folder
-        if not isinstance(e, (AttributeError, ConnectionError, OSError)) and "py4j" not in type(e).__module__:
-            raise
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/undula-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def few(small: DataFrame) -> DataFrame:
     """small, marked for a broadcast if it has at most SMALL rows (it is a written table, so that counting is cheap); else both sides are shuffled."""
     return F.broadcast(small) if small.count() <= SMALL else small

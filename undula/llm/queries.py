@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, langid, lines, media, packing, quality, simhash, substring, toxicity, urls
+from undula.llm import bpe, importance, langid, lines, media, packing, quality, simhash, substring, toxicity, urls
 from undula.llm.common import crc_mod
 
 
@@ -64,8 +64,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op6_lines, op7_simhash, op8_quality, op9_urls, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op6_lines, op7_simhash, op8_quality, op9_urls, op10_packing, op13_importance)}
 
 
 #: The windows of 20 words in full; every one after the first of its equals takes its words along.
@@ -96,5 +100,33 @@ j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(v, 6) AS llr, NOT base_failed AND v >= {quality.THRESHOLD} AS kept FROM j"""
 
 
+#: crc32 byte by byte: `t` is its table of 256 entries, made from the polynomial.
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(i)))"
+
+
+def _crc(text: str) -> str:
+    """SQL of a text's crc32, where crc.t is at hand."""
+    byte = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT))"
+    return f"xor(list_reduce([4294967295] || {byte}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _runs(table: str) -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"(SELECT *, ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS fs FROM (SELECT row_number() OVER () AS r, *, {words} AS ws FROM {table}))"
+
+
+OP13_SQL = f"""WITH {_CRC_TABLE}, d AS {_runs("documents")}, e AS {_runs("benchmark")},
+fd AS (SELECT r, g, count(*) AS n FROM (SELECT r, unnest(fs) AS g FROM d) GROUP BY 1, 2), fe AS (SELECT g, count(*) AS n FROM (SELECT unnest(fs) AS g FROM e) GROUP BY 1),
+h AS (SELECT g, {_crc("g")} % {importance.BUCKETS} AS bucket FROM (SELECT DISTINCT g FROM fd UNION SELECT g FROM fe), crc),
+s AS (SELECT bucket, sum(n) AS s FROM fd JOIN h USING (g) GROUP BY 1), t AS (SELECT bucket, sum(n) AS t FROM fe JOIN h USING (g) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + {importance.BUCKETS}) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (coalesce((SELECT sum(t) FROM t), 0) + {importance.BUCKETS})))) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT r, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM fd JOIN h USING (g) JOIN gain USING (bucket) GROUP BY 1),
+z AS (SELECT r, doc_id, CAST(len(fs) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, len(ws) >= {importance.LEAST_WORDS} AS may,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM z WHERE may)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {importance.PERCENT} * (SELECT count(*) FROM k) // 100 THEN rank END AS rank FROM z LEFT JOIN k USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL, "op8_quality": OP8_SQL}
+    return {"op3_substring": OP3_SQL, "op8_quality": OP8_SQL, "op13_importance": OP13_SQL}
