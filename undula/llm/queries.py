@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, importance, langid, lines, media, packing, quality, simhash, substring, toxicity, urls
+from undula.llm import bpe, importance, langid, lines, media, packing, quality, simhash, substring, toxicity, urls, vectors
 from undula.llm.common import crc_mod
 
 
@@ -64,12 +64,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op6_lines, op7_simhash, op8_quality, op9_urls, op10_packing, op13_importance)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op6_lines, op7_simhash, op8_quality, op9_urls, op10_packing, op12_vectors, op13_importance)}
 
 
 #: The windows of 20 words in full; every one after the first of its equals takes its words along.
@@ -100,6 +104,15 @@ j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(v, 6) AS llr, NOT base_failed AND v >= {quality.THRESHOLD} AS kept FROM j"""
 
 
+#: Every pair compared; components by following links.
+OP12_SQL = f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT r, vec_id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_max(list_transform(x, lambda y: abs(y))) > 0),
+e AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {vectors.COSINE}),
+reach AS (SELECT a AS r, b AS o FROM e UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.o = e.a),
+c AS (SELECT reach.r AS r, min(v.vec_id) AS low FROM reach JOIN v ON v.r = reach.o GROUP BY 1), n AS (SELECT a AS r, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, low) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, low) AS kept FROM v LEFT JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+
 #: crc32 byte by byte: `t` is its table of 256 entries, made from the polynomial.
 _CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(i)))"
 
@@ -129,4 +142,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {importance.PERCENT}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL, "op8_quality": OP8_SQL, "op13_importance": OP13_SQL}
+    return {"op3_substring": OP3_SQL, "op8_quality": OP8_SQL, "op12_vectors": OP12_SQL, "op13_importance": OP13_SQL}
