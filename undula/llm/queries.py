@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, importance, langid, lines, media, packing, quality, simhash, substring, toxicity, urls, vectors
+from undula.llm import bpe, importance, langid, lines, media, packing, quality, simhash, spelling, substring, toxicity, urls, vectors
 from undula.llm.common import crc_mod
 
 
@@ -64,6 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.dedup(table(spark, sf_dir, "embeddings"))
 
@@ -73,7 +77,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op6_lines, op7_simhash, op8_quality, op9_urls, op10_packing, op12_vectors, op13_importance)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_substring, op4_language, op5_bpe, op6_lines, op7_simhash, op8_quality, op9_urls, op10_packing, op11_spelling, op12_vectors, op13_importance)}
 
 
 #: The windows of 20 words in full; every one after the first of its equals takes its words along.
@@ -128,6 +132,22 @@ def _runs(table: str) -> str:
     return f"(SELECT *, ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS fs FROM (SELECT row_number() OVER () AS r, *, {words} AS ws FROM {table}))"
 
 
+#: Near words by equi-joins: equal but for the code point at one place, or equal after one is left out.
+OP11_SQL = rf"""WITH {_CRC_TABLE}, x AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS id, run, count(*) AS n FROM x WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY 1, 2),
+h AS (SELECT run, n, {_crc("id")} AS h FROM r, crc),
+w AS (SELECT CASE WHEN h % {spelling.HURT} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1),
+v AS (SELECT word, n FROM w WHERE n >= {spelling.LEAST_COUNT} AND length(word) >= {spelling.LEAST_LENGTH}),
+p AS (SELECT word, n, p, substr(word, 1, p - 1) AS a, substr(word, p + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+near AS (SELECT x.word, y.word AS other, y.n AS m FROM p x JOIN p y ON x.p = y.p AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT y.word, x.word, x.n FROM p x JOIN v y ON x.a || x.b = y.word UNION SELECT x.word, y.word, y.n FROM p x JOIN v y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, struct_pack(m := -m, other := other)) AS other, max(m) AS m FROM near GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.FACTOR} * n THEN other END AS form, CASE WHEN m >= {spelling.FACTOR} * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS last FROM f UNION ALL SELECT chain.word, form FROM chain JOIN f ON f.word = chain.last WHERE form IS NOT NULL),
+root AS (SELECT chain.word, last FROM chain JOIN f ON f.word = chain.last WHERE form IS NULL)
+SELECT word, form, last AS root, n, n_near, form_n FROM f JOIN root USING (word)""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 OP13_SQL = f"""WITH {_CRC_TABLE}, d AS {_runs("documents")}, e AS {_runs("benchmark")},
 fd AS (SELECT r, g, count(*) AS n FROM (SELECT r, unnest(fs) AS g FROM d) GROUP BY 1, 2), fe AS (SELECT g, count(*) AS n FROM (SELECT unnest(fs) AS g FROM e) GROUP BY 1),
 h AS (SELECT g, {_crc("g")} % {importance.BUCKETS} AS bucket FROM (SELECT DISTINCT g FROM fd UNION SELECT g FROM fe), crc),
@@ -142,4 +162,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {importance.PERCENT}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL, "op8_quality": OP8_SQL, "op12_vectors": OP12_SQL, "op13_importance": OP13_SQL}
+    return {"op3_substring": OP3_SQL, "op8_quality": OP8_SQL, "op11_spelling": OP11_SQL, "op12_vectors": OP12_SQL, "op13_importance": OP13_SQL}
