@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undula.functions import contours as fc
+from undula.functions import sql
 from undula.operators import agreement, art, pairs, predict, summaries, weights
 from undula.sources import sinks, tables
 
@@ -291,6 +292,64 @@ def first_compatible(spark, sf_dir):
     return pairs.first_compatible(orders(spark, sf_dir))
 
 
+# the same in SQL, by the registered functions -----------------------------------------------------------------------------------------------------------------
+
+
+def _sql(spark, text: str, **frames: DataFrame) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(text, **frames)
+
+
+@query(ORACLES["similarity_matrix_long"])
+def sql_similarity_matrix(spark, sf_dir):
+    text = """WITH m AS (SELECT a.category AS a, b.category AS b, similarity_matrix(a.weight, b.weight) AS m FROM {p} a CROSS JOIN {p} b),
+    r AS (SELECT a, b, posexplode(m) AS (i, row) FROM m) SELECT a, b, i, j, round(x, 6) AS similarity FROM r LATERAL VIEW posexplode(row) AS j, x"""
+    return _sql(spark, text, p=F.broadcast(prototypes(spark, sf_dir)))  # labels
+
+
+@query(ORACLES["identity_match"])
+def sql_art_match(spark, sf_dir):
+    text = "SELECT contour_id, category, round(round(art_match(freq, valid_weight(weight)), 9), 6) AS match FROM {e} JOIN {p} ON length_ratio_ok(size(weight), size(freq), 3)"
+    return _sql(spark, text, e=emb(spark, sf_dir), p=F.broadcast(prototypes(spark, sf_dir)))  # labels
+
+
+@query(ORACLES["dtw_similarity"])
+def sql_dtw(spark, sf_dir):
+    text = "SELECT contour_id, category, round(dtw(weight, freq, 3).similarity, 6) AS similarity FROM {e} JOIN {p} ON length_ratio_ok(size(weight), size(freq), 3)"
+    return _sql(spark, text, e=emb(spark, sf_dir), p=F.broadcast(prototypes(spark, sf_dir)))  # labels
+
+
+@query(ORACLES["unwarp"])
+def sql_unwarp(spark, sf_dir):
+    text = "SELECT contour_id, posexplode(back) AS (pos, value) FROM (SELECT contour_id, unwarp(transform(sequence(0, size(freq) - 1), i -> cast(floor(i * 1.7D) AS int))) AS back FROM {e})"
+    return _sql(spark, text, e=events(spark, sf_dir))
+
+
+@query(ORACLES["warp_gather"])
+def sql_warp_gather(spark, sf_dir):
+    text = "SELECT contour_id, posexplode(taken) AS (pos, value) FROM (SELECT contour_id, warp_gather(freq, transform(sequence(0, size(freq) - 1), i -> cast(floor(i * 0.6D) AS int))) AS taken FROM {e})"
+    return _sql(spark, text, e=events(spark, sf_dir))
+
+
+@query(ORACLES["resample_linear"])
+def sql_resample_linear(spark, sf_dir):
+    text = "WITH r AS (SELECT contour_id, resample_linear(freq, 1.0D, 1.7D) AS freq FROM {e}), p AS (SELECT contour_id, posexplode(freq) AS (pos, value) FROM r) SELECT contour_id, pos, round(value, 6) AS value FROM p"
+    return _sql(spark, text, e=events(spark, sf_dir))
+
+
+@query(ORACLES["cap_length"])
+def sql_cap_length(spark, sf_dir):
+    text = "WITH r AS (SELECT contour_id, cap_length(freq, 20) AS freq FROM {e}), p AS (SELECT contour_id, posexplode(freq) AS (pos, value) FROM r) SELECT contour_id, pos, round(value, 6) AS value FROM p"
+    return _sql(spark, text, e=events(spark, sf_dir))
+
+
+@query(ORACLES["contour_scan_long"])
+def sql_ctr_round_trip(spark, sf_dir):
+    """Every contour as the bytes of a MATLAB file, read by the table function."""
+    text = "SELECT e.contour_id, posexplode(c.freq) AS (pos, value) FROM (SELECT contour_id, write_ctr(freq, tempres) AS content FROM {e}) e, LATERAL read_ctr(e.content) c"
+    return _sql(spark, text, e=events(spark, sf_dir))
+
+
 # summaries --------------------------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from undula.sources import mat5
 
 FORMATS = ("ctr", "csv", "txt")
+#: What a file that isn't what it should be may raise.
+UNREADABLE = (ValueError, KeyError, IndexError, TypeError, AttributeError)
 _DDL = "name string, freq array<double>, tempres double, ctrlength double, ref_id string, parent_ids array<string>, source_format string, path string, error string"
 _FIELDS = [x.split()[0] for x in _DDL.split(", ")]
 _TYPES = [pa.string(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string()]
@@ -108,7 +110,7 @@ def _parsed(files: DataFrame, column: int) -> DataFrame:
                 row = {"name": stem, "source_format": ext[1:].lower(), "path": path}
                 try:
                     row |= read[row["source_format"]](content)
-                except (ValueError, KeyError, IndexError, TypeError, AttributeError, UnicodeDecodeError) as e:
+                except UNREADABLE as e:
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in rows], t) for f, t in zip(_FIELDS, _TYPES, strict=True)], names=_FIELDS)
