@@ -24,9 +24,9 @@ def valid_weight(weight: Column) -> Column:
 
 
 def length_ratio_ok(m: Column, n: Column, w: int = 3) -> Column:
-    """Whether lengths are near enough for a warp: max / (min - 1) < w, or one point against one."""
+    """Whether lengths are near enough for a warp: max / (min - 1) < w, or one point against one; null without a length."""
     low = F.least(m, n)
-    return ((m == 1) & (n == 1)) | ((low > 1) & (F.greatest(m, n) < w * (low - 1)))
+    return F.when(m.isNotNull() & n.isNotNull(), ((m == 1) & (n == 1)) | ((low > 1) & (F.greatest(m, n) < w * (low - 1))))
 
 
 def match(contour: Column, weight: Column) -> Column:

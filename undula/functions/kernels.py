@@ -129,6 +129,85 @@ def dtw(ref, other, w: int = 3, variant: str = "banded") -> tuple[float, np.ndar
     return dtw_pairs([ref], [other], w, variant)[0]
 
 
+class Bounds:
+    """Upper bounds of the similarity of many references with an input, without a warp: what each reference point could score at best within its part of the band.
+
+    A point's best is told by the least and the largest input value there, which tables over runs of 1, 2, 4, ... input points hold. A bound is exact enough to rule out a
+    reference, never too low; inputs with negative or missing values, and pairs that `short_diagonal` takes, are not bounded.
+    """
+
+    def __init__(self, refs: list, w: int = 3, variant: str = "banded"):
+        self.refs, self.w, self.variant = [np.asarray(r, dtype=float) for r in refs], w, variant
+        self.sizes = np.array([len(r) for r in self.refs], dtype=np.int64)
+        self.by_length: dict[int, tuple] = {}
+
+    def _ranges(self, n: int) -> tuple:
+        """For inputs of n points: the references whose length allows a warp, and of all their points, end to end, values and input ranges."""
+        if n not in self.by_length:
+            if len(self.sizes) and int(self.sizes.max()) * n > MAX_CELLS:
+                raise ValueError(f"{self.sizes.max()} x {n} points exceed {MAX_CELLS} cells")
+            own = np.flatnonzero(((self.sizes == 1) & (n == 1)) | (length_ratio(self.sizes, n) < self.w)) if n else np.zeros(0, np.int64)
+            parts = []
+            for m in self.sizes[own].tolist():
+                lo, hi = _band(m, n, self.w)
+                i = np.arange(m)
+                parts.append((np.maximum(lo, n - 1 - self.w * (m - 1 - i)), np.minimum(hi, self.w * i)))  # as the first points meet and the last
+            lo, hi = (np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in (0, 1))
+            ends = np.cumsum(self.sizes[own])
+            starts = ends - self.sizes[own]
+            closed = np.logical_or.reduceat(lo > hi, starts) if len(own) else np.zeros(0, bool)
+            hi = np.maximum(lo, hi)
+            level = np.log2(hi - lo + 1).astype(np.int64)
+            level -= (1 << level) > hi - lo + 1
+            values = np.concatenate([self.refs[k] for k in own]) if len(own) else np.zeros(0)
+            open_ = (np.minimum(self.sizes[own], n) < 2 * self.w) & (np.abs(self.sizes[own] - n) <= self.w) if self.variant == "short_diagonal" else np.zeros(len(own), bool)
+            self.by_length[n] = own, values, level, lo, hi - (1 << level) + 1, starts, closed, open_
+        return self.by_length[n]
+
+    def of(self, x) -> tuple[np.ndarray, np.ndarray]:
+        """The references that x may be warped to, ascending, and a bound of each one's similarity."""
+        x = np.asarray(x, dtype=float)
+        own, values, level, at, to, starts, closed, open_ = self._ranges(len(x))
+        if not len(own) or not (np.isfinite(x) & (x >= 0)).all():
+            return own, np.full(len(own), np.inf)
+        low, high = [x], [x]
+        for k in range(int(level.max())):
+            low.append(np.minimum(low[-1][: len(low[-1]) - (1 << k)], low[-1][1 << k :]))
+            high.append(np.maximum(high[-1][: len(high[-1]) - (1 << k)], high[-1][1 << k :]))
+        first = np.cumsum([0] + [len(t) for t in low[:-1]])[level]
+        low, high = np.concatenate(low), np.concatenate(high)
+        near = np.clip(values, np.minimum(low[first + at], low[first + to]), np.maximum(high[first + at], high[first + to]))
+        total = np.add.reduceat(point_similarity(values, near), starts) / self.sizes[own]
+        return own, np.where(open_, np.inf, np.where(closed, 0.0, total))
+
+
+def nearest(inputs: list, bounds: Bounds, gain: float = 1.0) -> list[tuple[int, float, np.ndarray, int, int] | None]:
+    """For each input: the reference of the largest gain * similarity (ties: the first), the similarity, the warp, how many references it could be warped to, and how many it was.
+
+    References come in the order of their bounds, twice as many in each round; what can't reach the best so far is left out, so the result is that of warping all.
+    """
+    best: list = [None] * len(inputs)
+    todo = []
+    for k, x in enumerate(inputs):
+        own, bound = bounds.of(x)
+        if len(own):
+            bound = bound if gain else np.zeros(len(own))
+            order = np.argsort(-bound, kind="stable")
+            todo.append((k, own[order], bound[order]))
+            best[k] = (-1, -1.0, np.zeros(0, np.int32), len(own), 0)
+    size, at = 1, 0
+    while todo:
+        pairs = [(k, r) for k, own, bound in todo for r, b in zip(own[at : at + size].tolist(), bound[at : at + size].tolist(), strict=True) if gain * b >= gain * best[k][1] * (1 - 1e-9)]
+        for (k, r), (s, warp) in zip(pairs, dtw_pairs([bounds.refs[r] for _, r in pairs], [inputs[k] for k, _ in pairs], bounds.w, bounds.variant), strict=True):
+            was, score, path, n, warped = best[k]
+            ahead = was < 0 or gain * s > gain * score or gain * s == gain * score and r < was
+            best[k] = (r, s, warp, n, warped + 1) if ahead else (was, score, path, n, warped + 1)
+        at += size
+        size *= 2
+        todo = [(k, own, bound) for k, own, bound in todo if at < len(own) and gain * bound[at] >= gain * best[k][1] * (1 - 1e-9)]
+    return best
+
+
 def unwarp(warp) -> np.ndarray:
     """The inverse map: for each input point the first reference point on it, else the one before, else 0."""
     warp = np.asarray(warp, dtype=np.int64)

@@ -33,7 +33,7 @@ _LENGTH = "greatest(1, cast(bround(1 + (size(freq) - 1) / (seconds / tempres)) A
 #: name: parameters, type of the result, body.
 SQL = {
     "similarity_matrix": ("a array<double>, b array<double>", "array<array<double>>", "transform(a, x -> transform(b, y -> least(x, y) / if(greatest(x, y) = 0, 1e-10D, greatest(x, y)) * 100))"),
-    "length_ratio_ok": ("m int, n int, w int", "boolean", "(m = 1 AND n = 1) OR (least(m, n) > 1 AND greatest(m, n) < w * (least(m, n) - 1))"),
+    "length_ratio_ok": ("m int, n int, w int", "boolean", "if(m IS NULL OR n IS NULL, NULL, (m = 1 AND n = 1) OR (least(m, n) > 1 AND greatest(m, n) < w * (least(m, n) - 1)))"),
     "valid_weight": ("weight array<double>", "array<double>", f"filter(weight, x -> x > 0 AND x < {_INF})"),
     "art_match": (
         "contour array<double>, weight array<double>", "double",

@@ -1,20 +1,55 @@
 """Similarity joins of contours and prototypes.
 
-A side is broadcast as a nested-loop join only because prototypes are bounded by a run's max_categories; `check_few` refuses more. The length filter is part of
-the join, below the warp, so hopeless pairs never reach Python.
+Lengths decide first: a warp is tried only if the longer has fewer than w times the points of the shorter, less one. That is an equi-join: lengths fall into buckets whose
+limits are powers of w, and what may meet lies in the same bucket or the next. The exact rule is checked above it, still below the warp, so hopeless pairs never
+reach Python. One side is broadcast only if it is_few; else both are shuffled, each bucket dealt over many tasks by a salt.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.functions import kernels
 from undula.functions.contours import length_ratio_ok, ratio, valid_weight
 
-#: Prototypes that may be broadcast; more are joined by a shuffle on blocks of them.
-FEW = 20_000
+#: Prototypes that may be broadcast, and their points in all; beyond either both sides are shuffled.
+FEW, FEW_POINTS = 20_000, 8_000_000
+
+
+def is_few(prototypes: DataFrame, column: str = "weight") -> bool:
+    """Whether prototypes may be sent to every task."""
+    r = prototypes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("points")).first()
+    return r.n <= FEW and r.points <= FEW_POINTS
+
+
+def length_bucket(n: Column, w: int) -> Column:
+    """Lengths that may be warped onto each other differ by one bucket at most; null for no points."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(float(w)))).cast("int")
+
+
+def length_join(left: DataFrame, right: DataFrame, a: str, b: str, w: int = 3) -> DataFrame:
+    """Every pair of rows whose arrays a (of left) and b (of right) have lengths that allow a warp; right is broadcast if it is few.
+
+    Otherwise each row of right goes to three buckets times as many salts as give every core work; rows of left are dealt over the salts at random.
+    """
+    few = is_few(right, b)
+    salts = 1 if few else max(1, -(-int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2))
+    own = length_bucket(F.size(a), w)
+    x = left.withColumns({"_bucket": own, "_salt": F.floor(F.rand(7) * salts).cast("int") if salts > 1 else F.lit(0)}).filter("_bucket is not null")
+    at = length_bucket(F.size(b), w)
+    y = right.withColumn("_bucket", F.explode(F.array(at - 1, at, at + 1))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).filter("_bucket is not null")
+    return x.join(F.broadcast(y) if few else y, ["_bucket", "_salt"]).filter(length_ratio_ok(F.size(a), F.size(b), w)).drop("_bucket", "_salt")
+
+
+def every_pair(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
+    """All pairs of two frames of which the result has a row each: right is broadcast if few, else given to each of as many tasks as left is dealt over."""
+    if few:
+        return left.crossJoin(F.broadcast(right))
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    return x.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "_salt").drop("_salt")
 
 
 def with_warp(pairs: DataFrame, ref: str, other: str, w: int = 3, variant: str = "banded") -> DataFrame:
@@ -38,19 +73,23 @@ def compare(contours: DataFrame, prototypes: DataFrame, w: int = 3, bias: float
     contours: contour_id, freq. prototypes: category, weight.
     """
     p = prototypes.select("category", valid_weight(F.col("weight")).alias("weight"))
-    p = F.broadcast(p) if p.count() <= FEW else p.repartition("category")
-    both = contours.select("contour_id", "freq").join(p, length_ratio_ok(F.size("weight"), F.size("freq"), w))
+    both = length_join(contours.select("contour_id", "freq"), p, "freq", "weight", w)
     out = with_warp(both, "weight", "freq", w, variant)
     return out.select("contour_id", "category", "freq", "weight", "similarity", "warp", (F.col("similarity") * (1 - bias)).alias("activation"))
 
 
 def prototype_pairs(prototypes: DataFrame, w: int = 3, ordered: bool = True) -> DataFrame:
-    """i, j, similarity of prototypes: all ordered pairs with 100 on the diagonal, or only i < j (similarity is not symmetric; the reference is i)."""
-    p = prototypes.select("category", valid_weight(F.col("weight")).alias("weight"))
+    """i, j, similarity of prototypes: all ordered pairs with 100 on the diagonal, or only i < j (similarity is not symmetric; the reference is i). Pairs that lengths rule out have 0.
+
+    Only pairs that can be warped carry their values; the others come from a product of the prototypes' names and lengths.
+    """
+    p = prototypes.select("category", F.coalesce(valid_weight(F.col("weight")), F.array().cast("array<double>")).alias("weight"))
     a, b = p.select(F.col("category").alias("i"), F.col("weight").alias("a")), p.select(F.col("category").alias("j"), F.col("weight").alias("b"))
-    both = a.join(b, F.col("i") != F.col("j") if ordered else F.col("i") < F.col("j"))
-    near = length_ratio_ok(F.size("a"), F.size("b"), w)
-    out = with_warp(both.filter(near), "a", "b", w).select("i", "j", "similarity").unionByName(both.filter(~near).select("i", "j", F.lit(0.0).alias("similarity")))
+    wanted = F.col("i") != F.col("j") if ordered else F.col("i") < F.col("j")
+    out = with_warp(length_join(a, b, "a", "b", w).filter(wanted), "a", "b", w).select("i", "j", "similarity")
+    m, n = a.select("i", F.size("a").alias("m")), b.select("j", F.size("b").alias("n"))
+    apart = every_pair(m, n, is_few(p)).filter(wanted & ~length_ratio_ok(F.col("m"), F.col("n"), w))
+    out = out.unionByName(apart.select("i", "j", F.lit(0.0).alias("similarity")))
     return out.unionByName(a.select("i", F.col("i").alias("j"), F.lit(100.0).alias("similarity"))) if ordered else out
 
 

@@ -292,6 +292,50 @@ def first_compatible(spark, sf_dir):
     return pairs.first_compatible(orders(spark, sf_dir))
 
 
+# ragged contours: lengths decide which pairs are warped ---------------------------------------------------------------------------------------------------
+
+
+def national(spark, sf_dir) -> DataFrame:
+    """category (nation), weight: the contour of the nation's first customer that has orders."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("contour_id"), F.col("c_nationkey").alias("category"))
+    return orders(spark, sf_dir).join(c, "contour_id").groupBy("category").agg(F.min_by("freq", "contour_id").alias("weight"))
+
+
+_RAGGED = """, emb AS (SELECT contour_id, freq FROM oc), proto AS (SELECT c_nationkey AS category, arg_min(freq, contour_id) AS weight FROM oc JOIN customer ON c_custkey = contour_id GROUP BY 1)"""
+_NEAR = "((len(weight) = 1 AND len(freq) = 1) OR (least(len(weight), len(freq)) > 1 AND greatest(len(weight), len(freq)) < 3 * (least(len(weight), len(freq)) - 1)))"
+_RAGGED_DTW = _dtw(f"(SELECT * FROM emb JOIN proto ON {_NEAR})").replace(_EMB, _ORDERS.replace("WITH ", "WITH RECURSIVE ", 1) + _RAGGED)
+
+
+@query(f"{_RAGGED_DTW} SELECT contour_id, category, round(similarity, 6) AS similarity FROM dtw")
+def ragged_similarity(spark, sf_dir):
+    return pairs.compare(orders(spark, sf_dir), national(spark, sf_dir), _W).select("contour_id", "category", *six("similarity"))
+
+
+@query(f"""{_RAGGED_DTW}, n AS (SELECT contour_id, count(*) AS n, max(round(similarity, 9)) AS top FROM dtw GROUP BY 1)
+SELECT contour_id, round(top, 6) AS similarity, coalesce(n, 0) AS n_candidates FROM emb LEFT JOIN n USING (contour_id)""")
+def ragged_nearest(spark, sf_dir):
+    return predict.nearest(orders(spark, sf_dir), national(spark, sf_dir), w=_W).select("contour_id", *six("similarity"), "n_candidates")
+
+
+@query(f"""{_ORDERS}, x AS (SELECT contour_id AS a, len(freq) AS m FROM oc), y AS (SELECT contour_id AS b, len(freq) AS n FROM oc)
+SELECT a, count(*) AS n_near, CAST(min(n) AS INTEGER) AS shortest, CAST(max(n) AS INTEGER) AS longest FROM x JOIN y ON a <> b AND ((m = 1 AND n = 1) OR (least(m, n) > 1 AND greatest(m, n) < 3 * (least(m, n) - 1))) GROUP BY a""")
+def orders_that_may_meet(spark, sf_dir):
+    """Which customers' contours could be warped onto each one's, of all pairs of customers."""
+    o = orders(spark, sf_dir)
+    both = pairs.length_join(o.select(F.col("contour_id").alias("a"), F.col("freq").alias("x")), o.select(F.col("contour_id").alias("b"), F.col("freq").alias("y")), "x", "y", _W)
+    n = F.size("y")
+    return both.filter("a <> b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
+
+
+_NATION_DTW = _dtw(f"(SELECT e.contour_id, e.freq, p.category, p.weight FROM (SELECT category AS contour_id, weight AS freq FROM proto) e JOIN proto p ON {_NEAR})").replace(_EMB, _ORDERS.replace("WITH ", "WITH RECURSIVE ", 1) + _RAGGED)
+
+
+@query(f"""{_NATION_DTW} SELECT a.category AS i, b.category AS j, round(CASE WHEN a.category = b.category THEN 100 ELSE coalesce(similarity, 0) END, 6) AS similarity
+FROM proto a CROSS JOIN proto b LEFT JOIN dtw ON dtw.category = a.category AND dtw.contour_id = b.category""")
+def ragged_prototype_pairs(spark, sf_dir):
+    return pairs.prototype_pairs(national(spark, sf_dir), _W).select("i", "j", *six("similarity"))
+
+
 # the same in SQL, by the registered functions -----------------------------------------------------------------------------------------------------------------
 
 
