@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.functions.contours import finite, safe_tempres
+from undula.operators.ordering import running_sum
+from undula.operators.quantiles import quantile
 
 
 def category_sizes(assigned: DataFrame) -> DataFrame:
@@ -56,7 +58,8 @@ def tempres_histogram(contours: DataFrame) -> DataFrame:
 def moments(values: DataFrame, value: Column) -> DataFrame:
     """n, mean, median, lo, hi of the finite values."""
     x = values.select(value.cast("double").alias("x")).filter(finite(F.col("x")))
-    return x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    rest = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return rest.crossJoin(quantile(x, F.col("x"), name="median")).select("n", "mean", "median", "lo", "hi")  # one row each
 
 
 def distribution(assigned: DataFrame) -> DataFrame:
@@ -67,12 +70,14 @@ def distribution(assigned: DataFrame) -> DataFrame:
 def stats_table(assigned: DataFrame) -> DataFrame:
     """One row: totals, and mean and median match of the categorised."""
     own = F.when(F.col("category").isNotNull(), F.col("match"))
-    return assigned.agg(F.count("*").alias("n_contours"), F.count("category").alias("n_categorised"), F.count_if(F.col("category").isNull()).alias("n_uncategorised"), F.count_distinct("category").alias("n_categories"), F.avg(own).alias("mean_match"), F.percentile(own, 0.5).alias("median_match"))
+    rest = assigned.agg(F.count("*").alias("n_contours"), F.count("category").alias("n_categorised"), F.count_if(F.col("category").isNull()).alias("n_uncategorised"), F.count_distinct("category").alias("n_categories"), F.avg(own).alias("mean_match"))
+    return rest.crossJoin(quantile(assigned, own, name="median_match"))  # one row each
 
 
 def match_by_category(assigned: DataFrame) -> DataFrame:
     rows = assigned.filter(F.col("category").isNotNull() & finite(F.col("match")))
-    return rows.groupBy("category").agg(F.count("*").alias("n"), F.avg("match").alias("mean"), F.percentile("match", 0.5).alias("median"), F.min("match").alias("lo"), F.max("match").alias("hi"))
+    rest = rows.groupBy("category").agg(F.count("*").alias("n"), F.avg("match").alias("mean"), F.min("match").alias("lo"), F.max("match").alias("hi"))
+    return rest.join(quantile(rows, F.col("match"), "category", name="median"), "category").select("category", "n", "mean", "median", "lo", "hi")
 
 
 def vigilance_sweep(runs: DataFrame) -> DataFrame:
@@ -122,12 +127,11 @@ def prediction_summary(assigned: DataFrame) -> DataFrame:
 def discovery_curve(assigned: DataFrame) -> DataFrame:
     """contour_id, n_seen: how many categories have been seen up to each contour, in input order.
 
-    The window runs over the first appearances, one row per category; contours between take the last one by a join on ranges of these.
+    A category counts at its first contour; the counts are summed over ranges of contours.
     """
-    first = assigned.filter("category is not null").groupBy("category").agg(F.min("contour_id").alias("at"))
-    steps = first.withColumn("n", F.row_number().over(Window.orderBy("at"))).withColumn("until", F.lead("at").over(Window.orderBy("at")))
-    on = (F.col("contour_id") >= F.col("at")) & (F.col("until").isNull() | (F.col("contour_id") < F.col("until")))
-    return assigned.join(F.broadcast(steps), on, "left").select("contour_id", F.coalesce("n", F.lit(0)).alias("n_seen"))  # steps: at most max_categories rows
+    first = assigned.filter("category is not null").groupBy("category").agg(F.min("contour_id").alias("contour_id")).groupBy("contour_id").agg(F.count("*").alias("new"))
+    rows = assigned.select("contour_id").join(first, "contour_id", "left")
+    return running_sum(rows, "n_seen", F.coalesce("new", F.lit(0)), "contour_id").select("contour_id", F.col("n_seen").cast("int").alias("n_seen"))
 
 
 def new_per_round(history: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ import math
 import posixpath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undula.operators.ordering import numbered
 from undula.sources import mat5
+from undula.storage import materialize
 
 FORMATS = ("ctr", "csv", "txt")
 #: What a file that isn't what it should be may raise.
@@ -134,14 +136,12 @@ def load_contours(spark: SparkSession, directory: str, file_format: str = "auto"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
     if files.select("path").isEmpty():
         raise ValueError(f"no contour file in {directory}")
-    parsed = _parsed(files, frequency_column)
+    parsed = materialize(_parsed(files, frequency_column))  # each file is read and parsed once
     good = parsed.filter("error is null").drop("error")
     if good.isEmpty():
         raise ValueError(f"no file in {directory} could be read")
     order = F.array_position(F.array(*map(F.lit, FORMATS)), F.col("source_format"))
-    # one row per file: numbering them is small beside reading them
-    numbered = good.withColumn("contour_id", F.row_number().over(Window.orderBy(order, "path")) - 1)
-    return numbered.select(F.col("contour_id").cast("long"), *good.columns), parsed.filter("error is not null").select("path", "error")
+    return numbered(good, "contour_id", order, "path").select("contour_id", *good.columns), parsed.filter("error is not null").select("path", "error")
 
 
 #: Parameters of a saved categorisation: name in the file, name here, value where the file has none (fixed values).

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a written table that may be broadcast.
+SMALL = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +42,7 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+def few(small: DataFrame) -> DataFrame:
+    """small (a written table, so that counting is cheap), marked for a broadcast if it has at most SMALL rows; else both sides are shuffled."""
+    return F.broadcast(small) if small.count() <= SMALL else small
