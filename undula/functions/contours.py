@@ -99,3 +99,20 @@ def strip_extension(name: Column) -> Column:
 
 def auto_name(position: Column) -> Column:
     return F.format_string("contour_%04d", position)
+
+
+#: The namespace of this engine's ids (a fixed value).
+NAMESPACE = "6f1c0d52-7b0e-4c58-9f3a-2d1f0a5b8e47"
+
+
+def name_id(name: Column, namespace: str = NAMESPACE) -> Column:
+    """The version-5 UUID of a name: the same whenever and wherever it is computed."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "utf-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def fixed(x: Column) -> Column:
+    """A value as text with one decimal, exact halves to even, at least seven wide."""
+    text = F.translate(F.format_number(x, 1), ",", "")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(7)), F.lit(" "))

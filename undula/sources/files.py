@@ -22,8 +22,8 @@ from undula.storage import materialize
 FORMATS = ("ctr", "csv", "txt")
 #: What a file that isn't what it should be may raise.
 UNREADABLE = (ValueError, KeyError, IndexError, TypeError, AttributeError)
-_DDL = "name string, freq array<double>, tempres double, ctrlength double, ref_id string, parent_ids array<string>, source_format string, path string, error string"
-_FIELDS = [x.split()[0] for x in _DDL.split(", ")]
+PARSED = "name string, freq array<double>, tempres double, ctrlength double, ref_id string, parent_ids array<string>, source_format string, path string, error string"
+_FIELDS = [x.split()[0] for x in PARSED.split(", ")]
 _TYPES = [pa.string(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string()]
 
 
@@ -101,23 +101,27 @@ def read_ctr(content: bytes) -> dict:
     return {"freq": freq, "tempres": tempres, "ctrlength": length, "ref_id": v["id"].strip() if isinstance(v.get("id"), str) else None, "parent_ids": _texts(v["parent_ids"]) if "parent_ids" in v else None}
 
 
-def _parsed(files: DataFrame, column: int) -> DataFrame:
+def parse(paths: list[str], contents: list[bytes], column: int = 0) -> pa.RecordBatch:
+    """A row (PARSED) for each file."""
     read = {"csv": lambda c: read_csv(c, column), "txt": lambda c: read_txt(c, column), "ctr": read_ctr}
+    rows = []
+    for path, content in zip(paths, contents, strict=True):
+        stem, ext = posixpath.splitext(posixpath.basename(path))
+        row = {"name": stem, "source_format": ext[1:].lower(), "path": path}
+        try:
+            row |= read[row["source_format"]](content)
+        except UNREADABLE as e:
+            row["error"] = f"{type(e).__name__}: {e}"
+        rows.append(row)
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in rows], t) for f, t in zip(_FIELDS, _TYPES, strict=True)], names=_FIELDS)
+
 
+def _parsed(files: DataFrame, column: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                stem, ext = posixpath.splitext(posixpath.basename(path))
-                row = {"name": stem, "source_format": ext[1:].lower(), "path": path}
-                try:
-                    row |= read[row["source_format"]](content)
-                except UNREADABLE as e:
-                    row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in rows], t) for f, t in zip(_FIELDS, _TYPES, strict=True)], names=_FIELDS)
+            yield parse(batch.column("path").to_pylist(), batch.column("content").to_pylist(), column)
 
-    return files.select("path", "content").mapInArrow(run, _DDL)
+    return files.select("path", "content").mapInArrow(run, PARSED)
 
 
 def load_contours(spark: SparkSession, directory: str, file_format: str = "auto", frequency_column: int = 0, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
@@ -167,13 +171,48 @@ def read_categorisation(content: bytes) -> dict:
     return {"parameters": params, "weight": [w[:, j].tolist() for j in range(w.shape[1])], "rows": rows}
 
 
+_SAVED = "source string, parameters map<string, double>, category int, weight array<double>, contour_id long, name string, freq array<double>, match double, error string"
+_SAVED_TYPES = [pa.string(), pa.map_(pa.string(), pa.float64()), pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.string()]
+
+
+def load_categorisations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of all saved MATLAB categorisations at a path (a file, a directory or a glob), told apart by `source`, the stem of their file.
+
+    parameters: source, parameters. prototypes: source, category, weight. assignments: source, contour_id, name, freq, category, match. failed: source, error. Files are parsed where
+    they are read, each once.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                source = posixpath.splitext(posixpath.basename(at))[0]
+                try:
+                    got = read_categorisation(content)
+                except UNREADABLE as e:
+                    rows = [{"error": f"{type(e).__name__}: {e}"}]
+                else:
+                    rows = [{"parameters": [(k, float(v)) for k, v in got["parameters"].items()]}]
+                    rows += [{"category": k, "weight": w} for k, w in enumerate(got["weight"])]
+                    rows += [{"contour_id": i, **r} for i, r in enumerate(got["rows"])]
+                names = [x.split()[0] for x in _SAVED.replace("map<string, double>", "map").split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array([{"source": source, **r}.get(f) for r in rows], t) for f, t in zip(names, _SAVED_TYPES, strict=True)], names=names)
+
+    rows = materialize(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SAVED))
+    return {
+        "parameters": rows.filter("parameters is not null").select("source", "parameters"), "prototypes": rows.filter("weight is not null").select("source", "category", "weight"),
+        "assignments": rows.filter("contour_id is not null").select("source", "contour_id", "name", "freq", "category", "match"), "failed": rows.filter("error is not null").select("source", "error"),
+    }
+
+
 def load_categorisation(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
-    """(parameters, prototypes, assignments with freq and name) of a saved MATLAB categorisation."""
-    (content,) = spark.read.format("binaryFile").load(path).select("content").first()
-    got = read_categorisation(bytes(content))
-    prototypes = spark.createDataFrame(list(enumerate(got["weight"])), "category int, weight array<double>")
-    rows = [(i, r["name"], r["freq"], r["category"], r["match"]) for i, r in enumerate(got["rows"])]
-    return got["parameters"], prototypes, spark.createDataFrame(rows, "contour_id long, name string, freq array<double>, category int, match double")
+    """(parameters, prototypes, assignments with freq and name) of one saved MATLAB categorisation."""
+    t = load_categorisations(spark, path)
+    for r in t["failed"].limit(1).collect():
+        raise ValueError(r.error)
+    found = t["parameters"].limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} is not one file")
+    return {k: int(v) if k.startswith(("max_", "n_")) else v for k, v in found[0].parameters.items()}, t["prototypes"].drop("source"), t["assignments"].drop("source")
 
 
 def load_assignments(spark: SparkSession, path: str) -> DataFrame:
