@@ -1,9 +1,10 @@
-"""Command line: train, predict, export, plot (the tables behind the figures). Errors go to stderr with status 1."""
+"""Command line: train, predict, export, extract, plot (the tables behind the figures). Errors go to stderr with status 1."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--sample-interval", type=float, default=0.01)
     t.add_argument("--default-tempres", type=float, default=0.01)
     t.add_argument("--max-contour-length", type=int)
+    t.add_argument("--strict", action="store_true", help="refuse contours with missing, infinite or non-positive values")
     t.add_argument("--export-refs")
     t.add_argument("--export-categories")
     for flag in ("purge-empty", "recat-single", "compare-warped", "deprioritize-lone"):
@@ -49,6 +51,9 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("what", choices=("all", "references", "categories"))
     e.add_argument("--model", required=True)
     e.add_argument("--output-dir", required=True)
+    x = sub.add_parser("extract", help="write assignments and weights of saved MATLAB categorisations as CSV")
+    x.add_argument("--input", required=True, help="a file, a directory or a glob")
+    x.add_argument("--output-dir", required=True)
     r = sub.add_parser("plot", help="write the tables of a saved model's report")
     r.add_argument("--model", required=True)
     r.add_argument("--output-dir", required=True)
@@ -69,13 +74,14 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
     grid = {"resample": not a.no_resample, "sample_interval": a.sample_interval, "default_tempres": a.default_tempres, "max_contour_length": a.max_contour_length}
     params = art.Params(a.vigilance, a.learning_rate, a.bias, a.max_categories, a.max_iterations, a.warp_factor, a.seed, a.purge_empty, a.recat_single, a.compare_warped, a.deprioritize_lone)
     scanned = prepared(contours, grid).select("contour_id", "name", "freq", "tempres")
-    results = art.fit(scanned, {"run": params})
+    results = art.fit(scanned, {"run": params}, a.strict)
     results.write.mode("overwrite").parquet(f"{a.output}/results")  # trained once, read by each table
     results = spark.read.parquet(f"{a.output}/results")
     named = art.assignments(results).join(scanned.select("contour_id", "name"), "contour_id").drop("run_id")
-    kept = {k: v for k, v in (grid | {"vigilance": a.vigilance, "bias": a.bias, "warp_factor": a.warp_factor}).items() if v is not None}
+    kept = {k: v for k, v in (grid | asdict(params) | {"warp_factor": a.warp_factor}).items() if v is not None}
     parameters = spark.createDataFrame([(k, float(v)) for k, v in kept.items()], "name string, value double")
-    tables = {"contours": scanned, "assignments": named, "prototypes": art.prototypes(results).drop("run_id"), "history": art.history(results), "meta": art.meta(results), "provenance": summaries.provenance(named), "parameters": parameters}
+    raw = contours.select("contour_id", "name", "freq", "tempres")
+    tables = {"contours": scanned, "raw": raw, "assignments": named, "prototypes": art.prototypes(results).drop("run_id"), "history": art.history(results), "meta": art.meta(results), "provenance": summaries.provenance(named), "parameters": parameters}
     sinks.save_model(tables, a.output)
     if a.export_refs:
         sinks.export_prototypes(tables["prototypes"], a.export_refs)
@@ -103,22 +109,29 @@ def export(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.what in ("all", "references"):
         sinks.export_prototypes(model["prototypes"], f"{a.output_dir}/references")
         if "provenance" in model:
-            sinks.export_csv(sinks.provenance_rows(model["provenance"]), f"{a.output_dir}/provenance", "category", "parent_contour_name")
+            sinks.export_csv(sinks.provenance_rows(model["provenance"], run=a.model), f"{a.output_dir}/provenance", "category", "parent_contour_name")
     if a.what in ("all", "categories"):
         sinks.export_csv(sinks.assignment_rows(model["assignments"]), f"{a.output_dir}/categories", "contour_name")
 
 
 def plot(spark: SparkSession, a: argparse.Namespace) -> None:
     model = sinks.load_model(spark, a.model)
-    for name, table in summaries.report(model["contours"], model["assignments"], pairs.prototype_pairs(model["prototypes"])).items():
+    w = {r.name: int(r.value) for r in model["parameters"].filter("name = 'warp_factor'").collect()}.get("warp_factor", 3)
+    tables = summaries.report(model["contours"], model["assignments"], pairs.prototype_pairs(model["prototypes"], w), model["prototypes"], model["history"], raw=model.get("raw"), w=w)
+    for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{a.output_dir}/{name}")
 
 
+def extract(spark: SparkSession, a: argparse.Namespace) -> None:
+    for r in sinks.extract(spark, a.input, a.output_dir).toLocalIterator():
+        print(f"left out {r.source}: {r.error}", file=sys.stderr)
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("undula").getOrCreate()
     try:
-        {"train": train, "predict": run_predict, "export": export, "plot": plot}[a.command](spark, a)
+        {"train": train, "predict": run_predict, "export": export, "extract": extract, "plot": plot}[a.command](spark, a)
     except (ValueError, OSError, RuntimeError, KeyError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

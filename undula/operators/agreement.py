@@ -121,6 +121,19 @@ def shared(left: DataFrame, right: DataFrame) -> DataFrame:
     return ready(left, "left").join(ready(right, "right"), "contour_name")
 
 
+def sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: n_left, n_right, n_shared (pairs of rows whose names agree), left_only and right_only (rows less shared; repeated names can make them negative), n_left_names_only and n_right_names_only (names
+    that the other side doesn't have). Names are compared without extension; each side is counted by name before the join."""
+    def named(df: DataFrame, n: str) -> DataFrame:
+        return df.groupBy(strip_extension(F.col("contour_name")).alias("name")).agg(F.count("*").alias(n))
+
+    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    both = named(left, "a").join(named(right, "b"), "name", "full")
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).alias(name)
+    out = both.agg(total(a, "n_left"), total(b, "n_right"), total(a * b, "n_shared"), F.count_if(b == 0).alias("n_left_names_only"), F.count_if(a == 0).alias("n_right_names_only"))
+    return out.select("n_left", "n_right", "n_shared", (F.col("n_left") - F.col("n_shared")).alias("left_only"), (F.col("n_right") - F.col("n_shared")).alias("right_only"), "n_left_names_only", "n_right_names_only")
+
+
 def overview(joined: DataFrame) -> DataFrame:
     """One row for each side of shared(): n_categories, mean_match, mean_size, singletons."""
     out = None

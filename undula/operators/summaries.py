@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.functions.contours import finite, safe_tempres
+from undula.functions.contours import finite, length_ratio_ok, safe_tempres, valid_weight
+from undula.operators import pairs
 from undula.operators.ordering import running_sum
 from undula.operators.quantiles import quantile
 
@@ -25,6 +26,12 @@ def provenance(named: DataFrame) -> DataFrame:
     return rows.select("category", F.col("x.name").alias("names"))
 
 
+def member_rows(named: DataFrame) -> DataFrame:
+    """category, pos, contour_id, name: the members of each category in input order, a row each; a category is sorted, never held."""
+    at = Window.partitionBy("category").orderBy("contour_id")
+    return named.filter("category is not null").select("category", (F.row_number().over(at) - 1).alias("pos"), "contour_id", "name")
+
+
 def mean_length(assigned: DataFrame, contours: DataFrame) -> DataFrame:
     """category, mean_length, new_length (half to even)."""
     rows = assigned.filter("category is not null").join(contours, "contour_id").groupBy("category").agg(F.avg(F.size("freq")).alias("mean_length"))
@@ -85,9 +92,15 @@ def vigilance_sweep(runs: DataFrame) -> DataFrame:
     return runs.groupBy("vigilance").agg(F.count_distinct("category").alias("n_categories"), F.avg(F.when(finite(F.col("match")), F.col("match"))).alias("mean_match"))
 
 
-def run_stability(runs: DataFrame) -> DataFrame:
-    """Histogram of the number of categories over runs. runs: run_id, n_categories."""
-    return histogram(runs, F.col("n_categories"), F.least(F.lit(20), F.greatest(F.lit(5), F.col("n_distinct"))))
+def run_stability(meta: DataFrame, assigned: DataFrame) -> DataFrame:
+    """counted, bin, lo, hi, n: how many runs have how many categories, by all of a run's prototypes (`all`) and by those with members (`used`).
+
+    meta: run_id, n_categories. assigned: run_id, category.
+    """
+    used = meta.select("run_id").join(assigned.groupBy("run_id").agg(F.count_distinct("category").alias("n_categories")), "run_id", "left").fillna(0, ["n_categories"])
+    bins = F.least(F.lit(20), F.greatest(F.lit(5), F.col("n_distinct")))
+    both = [histogram(df, F.col("n_categories"), bins).select(F.lit(name).alias("counted"), "*") for name, df in (("all", meta), ("used", used))]
+    return both[0].unionByName(both[1])
 
 
 def confusion(labelled: DataFrame) -> DataFrame:
@@ -116,6 +129,16 @@ def resampling_diagnostics(before: DataFrame, after: DataFrame, default: float =
     return out.withColumn("suggested_cap", F.least(F.lit(600), F.greatest(F.lit(500), F.col("max_before"))))
 
 
+def before_after(before: DataFrame, after: DataFrame, interval: float, default: float = 0.01) -> DataFrame:
+    """contour_id, side (before, after), pos, seconds, value: the points of contours and of the same ones resampled, along time. before also has tempres."""
+    points = lambda df, side, step: df.select("contour_id", step.alias("step"), F.posexplode("freq").alias("pos", "value")).select("contour_id", F.lit(side).alias("side"), "pos", (F.col("pos") * F.col("step")).alias("seconds"), "value")
+    # resampled points lie evenly over the same time
+    size = before.select("contour_id", ((F.size("freq") - 1) * safe_tempres(F.col("tempres"), default)).alias("whole"))
+    wide = after.select("contour_id", "freq").join(size, "contour_id")
+    step = F.when(F.size("freq") > 1, F.col("whole") / (F.size("freq") - 1)).otherwise(F.lit(interval))
+    return points(before, "before", safe_tempres(F.col("tempres"), default)).unionByName(points(wide, "after", step))
+
+
 def longest(contours: DataFrame, n: int = 3) -> DataFrame:
     return contours.select("contour_id", F.size("freq").alias("length")).orderBy(F.desc("length"), "contour_id").limit(n)
 
@@ -181,14 +204,43 @@ def dendrogram(similarity: DataFrame) -> DataFrame:
     return similarity.sparkSession.createDataFrame([(*x, cut) for x in out], "step int, a int, b int, height double, size int, colour_cut double")
 
 
-def report(contours: DataFrame, named: DataFrame, similarity: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every table of the results report, by name. named: contour_id, name, category, match."""
+def alignment(contours: DataFrame, named: DataFrame, prototypes: DataFrame, w: int = 3, most: int = 20) -> DataFrame:
+    """category, contour_id, i, j, similarity: the warp of each category's first members onto its prototype; a row for each prototype point."""
+    first = member_rows(named).filter(F.col("pos") < most).select("category", "contour_id")
+    both = first.join(contours.select("contour_id", "freq"), "contour_id").join(prototypes.select("category", valid_weight(F.col("weight")).alias("weight")), "category")
+    both = both.filter(length_ratio_ok(F.size("weight"), F.size("freq"), w))
+    return pairs.path_rows(pairs.with_warp(both, "weight", "freq", w), "category", "contour_id")
+
+
+def bands(contours: DataFrame, prototypes: DataFrame, w: int = 3) -> DataFrame:
+    """m, n, i, j_lo, j_hi: the columns that each row may use, for every pair of a prototype's and a contour's length that occurs and allows a warp."""
+    m = prototypes.select(F.size(valid_weight(F.col("weight"))).alias("m")).distinct()
+    n = contours.select(F.size("freq").alias("n")).distinct()
+    sizes = pairs.every_pair(n, m, True).filter(length_ratio_ok(F.col("m"), F.col("n"), w))  # different lengths of prototypes, of which there are max_categories
+    i, m, n = F.col("i"), F.col("m"), F.col("n")
+    lo = F.greatest(F.lit(0), F.floor((i + 1) / w) - 1, (i - m) * w + n)
+    hi = F.least(w * (i + 1), F.bround((i - m) / w + n)) - 1
+    rows = sizes.select("m", "n", F.explode(F.sequence(F.lit(0), m - 1)).alias("i"))
+    return rows.select("m", "n", "i", lo.cast("int").alias("j_lo"), F.least(hi, n - 1).cast("int").alias("j_hi"))
+
+
+def report(contours: DataFrame, named: DataFrame, similarity: DataFrame | None = None, prototypes: DataFrame | None = None, history: DataFrame | None = None, labels: DataFrame | None = None, raw: DataFrame | None = None, w: int = 3) -> dict[str, DataFrame]:
+    """Every table of the results report, by name. named: contour_id, name, category, match. labels: contour_id, label. raw: the contours before resampling, with tempres."""
     out = {
-        "category_distribution": distribution(named), "training_stats": stats_table(named), "match_histogram": match_histogram(named), "match_by_category": match_by_category(named),
-        "discovery_curve": discovery_curve(named), "provenance": provenance(named), "length_histogram": length_histogram(contours), "mean_length": mean_length(named, contours),
+        "category_distribution": distribution(named), "category_sizes": category_sizes(named), "training_stats": stats_table(named), "match_histogram": match_histogram(named), "match_by_category": match_by_category(named),
+        "match_moments": moments(named, F.col("match")), "discovery_curve": discovery_curve(named), "members": member_rows(named), "length_histogram": length_histogram(contours), "mean_length": mean_length(named, contours), "longest": longest(contours),
     }
     if "tempres" in contours.columns:
         out["tempres_histogram"] = tempres_histogram(contours)
     if similarity is not None:
         out |= {"similarity": similarity, "embedding": mds(similarity), "dendrogram": dendrogram(similarity)}
+    if prototypes is not None:
+        out |= {"references": prototypes.select("category", F.posexplode("weight").alias("pos", "value")), "alignment": alignment(contours, named, prototypes, w), "bands": bands(contours, prototypes, w)}
+    if history is not None:
+        out["convergence"] = new_per_round(history)
+    if labels is not None:
+        both = named.join(labels.select("contour_id", "label"), "contour_id")
+        out |= {"confusion": confusion(both), "label_proportion": label_proportion(both)}
+    if raw is not None:
+        out |= {"before_after": before_after(raw, contours, 0.01), "resampling": resampling_diagnostics(raw, contours)}
     return out

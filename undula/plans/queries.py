@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.functions import contours as fc
 from undula.functions import sql
 from undula.operators import agreement, art, pairs, predict, summaries, weights
 from undula.sources import sinks, tables
+from undula.storage import materialize
 
 #: Vigilance of the identity-warp assignment, and of training.
 VIGILANCE, TRAINING = 88.5, 90.0
@@ -560,6 +561,14 @@ def overview(spark, sf_dir):
     return agreement.overview(_two_sides(spark, sf_dir)).select("side", "n_categories", *six("mean_match", "mean_size"), "singletons")
 
 
+@query(f"""{_ASSIGNED}, l AS (SELECT name, count(*) AS a FROM assigned GROUP BY 1), r AS (SELECT name, count(*) AS b FROM assigned WHERE category IS NOT NULL GROUP BY 1), x AS (SELECT coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM l FULL JOIN r USING (name))
+SELECT CAST(sum(a) AS BIGINT) AS n_left, CAST(sum(b) AS BIGINT) AS n_right, CAST(sum(a * b) AS BIGINT) AS n_shared, CAST(sum(a) - sum(a * b) AS BIGINT) AS left_only, CAST(sum(b) - sum(a * b) AS BIGINT) AS right_only,
+count(*) FILTER (b = 0) AS n_left_names_only, count(*) FILTER (a = 0) AS n_right_names_only FROM x""")
+def shared_counts(spark, sf_dir):
+    a = assigned(spark, sf_dir)
+    return agreement.sides(a.select(F.concat("name", F.lit(".csv")).alias("contour_name")), a.filter("category is not null").select(F.concat("name", F.lit(".CTR")).alias("contour_name")))
+
+
 # prototypes' tables and exports -----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -587,6 +596,52 @@ def assignments_export_format(spark, sf_dir):
     return sinks.assignment_rows(assigned(spark, sf_dir), one_based=True)
 
 
+_ID = f"sha1(unhex('{fc.NAMESPACE.replace('-', '')}') || encode('label/' || CAST(category AS VARCHAR)))"
+
+
+@query(f"""{_ASSIGNED}, h AS (SELECT category, {_ID} AS h FROM (SELECT DISTINCT category FROM assigned WHERE category IS NOT NULL)),
+ids AS (SELECT category, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS ref_contour_id FROM h)
+SELECT category + 1 AS category, ref_contour_id, name AS parent_contour_name FROM assigned JOIN ids USING (category)""")
+def provenance_export(spark, sf_dir):
+    return sinks.provenance_rows(summaries.provenance(assigned(spark, sf_dir)), one_based=True, run="label")
+
+
+@query(f"{_ASSIGNED} SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY contour_id) - 1 AS INTEGER) AS pos, contour_id, name FROM assigned WHERE category IS NOT NULL")
+def member_rows(spark, sf_dir):
+    return summaries.member_rows(assigned(spark, sf_dir))
+
+
+@query(f"""{_EMB} SELECT 'refContour_' || (category + 1) || '.csv' AS file, list_aggregate(list_transform(weight, lambda x: printf('%7.1f', x)), 'string_agg', chr(10)) || chr(10) AS value FROM proto WHERE category <> 3""")
+def reference_export(spark, sf_dir):
+    """The files of all prototypes; that of label 3 has no value left and so no file."""
+    p = prototypes(spark, sf_dir).withColumn("weight", F.when(F.col("category") == 3, F.transform("weight", lambda x: F.lit(float("nan")))).otherwise(F.col("weight")))
+    return sinks.prototype_text(p)
+
+
+@query(f"""{_EMB}, q AS (SELECT contour_id, category, list_filter(range(1, len(freq) + 1), lambda i: (i - 1) % 7 <> 0 AND (i - 1) % 11 <> 1) AS ok, freq, weight FROM emb, proto)
+SELECT contour_id, category, round(list_sum(list_transform(ok, lambda i: least(freq[i], weight[i]) / greatest(freq[i], weight[i]))) / len(ok) * 100, 6) AS match FROM q""")
+def match_valid_positions(spark, sf_dir):
+    """The match with prototypes that are zero at every seventh point and missing at every eleventh after the first."""
+    hurt = F.transform("weight", lambda x, i: F.when(i % 7 == 0, 0.0).when(i % 11 == 1, float("nan")).otherwise(x))
+    both = emb(spark, sf_dir).join(F.broadcast(prototypes(spark, sf_dir).withColumn("weight", hurt)))  # one prototype per label
+    return both.select("contour_id", "category", F.round(fc.match(F.col("freq"), F.col("weight")), 6).alias("match"))
+
+
+@query(f"{_RAGGED_DTW} SELECT contour_id, category, round(similarity * (1 - CAST(0.2 AS DOUBLE)), 6) AS activation FROM dtw")
+def ragged_activation(spark, sf_dir):
+    return pairs.compare(orders(spark, sf_dir), national(spark, sf_dir), _W, bias=0.2).select("contour_id", "category", *six("activation"))
+
+
+@query(f"""{_EVENTS}, b AS (SELECT contour_id, freq, CASE WHEN tempres > 0 THEN tempres ELSE 0.01 END AS t, CASE WHEN len(freq) > 20 THEN 20 ELSE len(freq) END AS l FROM ev),
+r AS (SELECT *, unnest(range(len(freq))) AS p FROM b), a AS (SELECT *, unnest(range(l)) AS p FROM b)
+SELECT contour_id, 'before' AS side, CAST(p AS INTEGER) AS pos, round(p * t, 4) AS seconds, round(freq[p + 1], 6) AS value FROM r
+UNION ALL SELECT contour_id, 'after', CAST(p AS INTEGER), round(CASE WHEN l > 1 THEN p * ((len(freq) - 1) * t / (l - 1)) ELSE 0 END, 4), round(CASE WHEN len(freq) > 20 THEN {_lerp("freq", "(p * CAST(len(freq) - 1 AS DOUBLE) / 19)")} ELSE freq[p + 1] END, 6) FROM a""")
+def before_after(spark, sf_dir):
+    e = events(spark, sf_dir)
+    out = summaries.before_after(e, e.withColumn("freq", fc.cap_length(F.col("freq"), 20)), 1.0)
+    return out.select("contour_id", "side", "pos", F.round("seconds", 4).alias("seconds"), *six("value"))
+
+
 @query()
 def prototype_embedding(spark, sf_dir):
     return summaries.mds(pairs.prototype_pairs(prototypes(spark, sf_dir), _W))
@@ -622,7 +677,8 @@ def train_history(spark, sf_dir):
 
 @query()
 def run_stability(spark, sf_dir):
-    return summaries.run_stability(art.meta(_trained(spark, sf_dir, compare_warped=True)))
+    results = materialize(_trained(spark, sf_dir, compare_warped=True))
+    return summaries.run_stability(art.meta(results), art.assignments(results))
 
 
 def _sql_spread(values: str, length: str) -> str:
@@ -648,4 +704,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["Window", "oracle_sql", "queries"]
+__all__ = ["oracle_sql", "queries"]
