@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -535,6 +536,50 @@ def test_mined_rules(spark):
     assert queries.op9_urls(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
 
 
+def plain_blocked(rows, support=urls.SUPPORT, least=urls.LEAST):
+    """The labelled URLs that have some combination of tokens that is frequent enough and whose bound of confidence suffices."""
+    import itertools
+
+    sets = [(frozenset(urls.tokens(u)), b) for u, b in rows if u and urls.tokens(u)]
+    seen = {}
+    for have, bad in sets:
+        for k in range(1, len(have) + 1):
+            for c in itertools.combinations(sorted(have), k):
+                n, hits = seen.get(c, (0, 0))
+                seen[c] = n + 1, hits + bad
+    need = max(support * len(sets), least)
+    good = [frozenset(c) for c, (n, hits) in seen.items() if hits >= need and urls.wilson(hits, n, urls.Z) >= urls.CONFIDENCE]
+    return [any(g <= have for g in good) for have, _ in sets]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mining_equals_all_combinations(spark, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(260):
+        host, a, b = rnd.choice(["x", "y", "z"]) + ".com", rnd.choice(["p", "q", "r"]), rnd.choice(["?id=1", "?ad=2", ""])
+        sure = host[0] == "x" and a == "q" or b == "?ad=2" and a == "p"
+        rows.append((f"http://{host}/{a}{b}", rnd.random() < (0.97 if sure else 0.1)))
+    rules = urls.mine(urls.labelled_tokens(spark.createDataFrame(rows, "url string, bad boolean")))
+    index = urls.Index(rules)
+    want = plain_blocked(rows)
+    assert [index.match(u) is not None for u, _ in rows] == want and any(want) and not all(want)
+
+
+def test_long_urls_of_one_template(spark):
+    """Tokens that come together are one, and others are bounded: a URL of 28 tokens takes no 2 ** 28 steps."""
+    rnd = random.Random(6)
+    query = "&".join(f"key{chr(97 + k)}=1" for k in range(24))
+    rows = [(f"http://h{i % 90}.com/{i % 40}?{query if i % 2 else 'u=1'}&v={i}", False) for i in range(500)] + [(f"http://bad.biz/a?{query}&n{i}=1", True) for i in range(12)]
+    loose = [(f"http://odd.net/?{'&'.join(f'k{chr(97 + k)}{chr(97 + k)}' for k in range(24) if rnd.random() < 0.8)}", True) for _ in range(60)]
+    items = urls.labelled_tokens(spark.createDataFrame(rows + loose, "url string, bad boolean"))
+    began = time.time()
+    index = urls.Index(urls.mine(items))
+    assert time.time() - began < 60
+    assert all((index.match(u) is not None) == bad for u, bad in rows + loose)
+    assert index.match("http://h1.com/?" + "x" * 200_000) is None
+
+
 def test_rare_tokens(spark):
     """Twelve bad pages of one host are a rule however many other pages there are; support alone would need more of them."""
     rows = [(f"http://h{i % 700}.com/{i % 50}", False) for i in range(7000)] + [(f"http://pills.biz/x{i}", True) for i in range(12)] + [("http://mixed.biz/", i % 3 == 0) for i in range(30)]
