@@ -12,7 +12,7 @@ from undula.sources import mat5
 @pytest.fixture(scope="module")
 def rows(spark):
     sql.register(spark)
-    assert set(sql.register(spark)) == set(sql.SQL) | {"dtw", "write_ctr", "read_ctr", "read_contour"}
+    assert set(sql.register(spark)) == set(sql.SQL) | {"dtw", "update_weights", "write_ctr", "read_ctr", "read_contour"}
     rng = np.random.default_rng(7)
     nan, inf = float("nan"), float("inf")
     out = [(i, rng.uniform(1, 9, n).tolist(), rng.uniform(1, 9, m).tolist(), np.sort(rng.integers(0, n, m)).astype(int).tolist(), 0.01 * (i % 3 - 1)) for i, (n, m) in enumerate([(1, 1), (2, 2), (2, 7), (3, 6), (7, 9), (20, 20), (31, 12), (9, 9)])]
@@ -59,6 +59,12 @@ def test_dtw(spark, rows):
     assert spark.sql("SELECT dtw(a, b, 3) AS x FROM {rows} WHERE i = 10", rows=rows).first().x is None
 
 
+def test_update_weights(spark, rows):
+    for r in spark.sql("SELECT a, b, x.warp, update_weights(b, a, 0.3D, x.warp) AS new FROM (SELECT a, b, dtw(a, b, 5) AS x FROM {rows} WHERE i < 8) WHERE size(x.warp) > 0", rows=rows).collect():
+        assert r.new == pytest.approx(kernels.update(r.b, r.a, 0.3, r.warp).tolist())
+    assert spark.sql("SELECT update_weights(a, b, 0.3D, w) AS x FROM {rows} WHERE i = 10", rows=rows).first().x is None
+
+
 def test_errors(spark):
     for text, says in (("art_match(array(1D), array(1D, 2D))", "differ in length"), ("resample_linear(array(1D, 2D), 0D, 1D)", "positive"), ("cap_length(array(1D, 2D), 0)", "1 or more")):
         with pytest.raises(Exception, match=says):

@@ -68,6 +68,11 @@ def _dtw(ref: pa.Array, other: pa.Array, w: pa.Array) -> pa.Array:
     return pa.array(out, _WARP)
 
 
+def _update(contour: pa.Array, weight: pa.Array, rate: pa.Array, warp: pa.Array) -> pa.Array:
+    rows = zip(contour.to_pylist(), weight.to_pylist(), rate.to_pylist(), warp.to_pylist(), strict=True)
+    return pa.array([None if None in (c, w, r, j) else kernels.update(c, w, r, j) for c, w, r, j in rows], pa.list_(pa.float64()))
+
+
 def _write_ctr(freq: pa.Array, tempres: pa.Array) -> pa.Array:
     rows = zip(freq.to_pylist(), tempres.to_pylist(), strict=True)
     return pa.array([None if f is None else mat5.write({"fcontour": f} | ({} if t is None else {"tempres": t}), compress=True) for f, t in rows], pa.binary())
@@ -108,7 +113,8 @@ def register(spark: SparkSession) -> list[str]:
     for name, (parameters, kind, body) in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     spark.udf.register("dtw", F.arrow_udf(_dtw, "struct<similarity double, warp array<int>>"))
+    spark.udf.register("update_weights", F.arrow_udf(_update, "array<double>"))
     spark.udf.register("write_ctr", F.arrow_udf(_write_ctr, "binary"))
     spark.udtf.register("read_ctr", F.udtf(ReadCtr, returnType=f"{_CTR}, error string"))
     spark.udtf.register("read_contour", F.udtf(ReadContour, returnType=f"name string, source_format string, {_CTR}, error string"))
-    return [*SQL, "dtw", "write_ctr", "read_ctr", "read_contour"]
+    return [*SQL, "dtw", "update_weights", "write_ctr", "read_ctr", "read_contour"]

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from undula.functions import contours as fc
 from undula.functions import sql
 from undula.operators import agreement, art, pairs, predict, summaries, weights
-from undula.sources import sinks, tables
-from undula.storage import materialize
+from undula.sources import files, sinks, tables
+from undula.storage import materialize, scratch
 
 #: Vigilance of the identity-warp assignment, and of training.
 VIGILANCE, TRAINING = 88.5, 90.0
@@ -182,7 +182,7 @@ def warp_gather(spark, sf_dir):
 SELECT a, b, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(least(x[i + 1], y[j + 1]) / greatest(x[i + 1], y[j + 1]) * 100, 6) AS similarity FROM r""")
 def similarity_matrix_long(spark, sf_dir):
     p = prototypes(spark, sf_dir)
-    both = p.select(F.col("category").alias("a"), F.col("weight").alias("x")).crossJoin(F.broadcast(p.select(F.col("category").alias("b"), F.col("weight").alias("y"))))  # labels
+    both = pairs.every_pair(p.select(F.col("category").alias("a"), F.col("weight").alias("x")), p.select(F.col("category").alias("b"), F.col("weight").alias("y")), pairs.is_few(p))
     return pairs.similarity_long(both, "x", "y").select("a", "b", "i", "j", *six("similarity"))
 
 
@@ -190,7 +190,7 @@ def similarity_matrix_long(spark, sf_dir):
 SELECT CAST(a.n AS INTEGER) AS m, CAST(b.n AS INTEGER) AS n, CASE WHEN a.n = 1 AND b.n = 1 THEN true WHEN least(a.n, b.n) <= 1 THEN false ELSE greatest(a.n, b.n) / (least(a.n, b.n) - 1) < 3 END AS near FROM n a, n b""")
 def length_ratio_reject(spark, sf_dir):
     n = orders(spark, sf_dir).select(F.size("freq").alias("n")).distinct()
-    both = n.withColumnRenamed("n", "m").crossJoin(F.broadcast(n))  # distinct lengths
+    both = pairs.every_pair(n.withColumnRenamed("n", "m"), n, n.count() <= pairs.FEW)
     return both.select("m", "n", fc.length_ratio_ok(F.col("m"), F.col("n"), 3).alias("near"))
 
 
@@ -395,6 +395,100 @@ def sql_ctr_round_trip(spark, sf_dir):
     return _sql(spark, text, e=events(spark, sf_dir))
 
 
+# files and models that Spark writes from the tables and reads again -------------------------------------------------------------------------------------
+
+
+@query(f"{_EVENTS} SELECT contour_id, CAST(CASE WHEN len(freq) > 1 THEN 0.005 ELSE 0 END AS DOUBLE) AS tempres, CAST(p AS INTEGER) AS pos, freq[p + 1] AS value FROM (SELECT contour_id, freq, unnest(range(len(freq))) AS p FROM ev)")
+def csv_files(spark, sf_dir):
+    """Every contour as the text of a CSV file with a time column of 5 ms steps after others, read by the table function."""
+    text = """WITH f AS (SELECT contour_id, concat('no,Time [ms], Peak Frequency [Hz] \n', array_join(transform(freq, (x, i) -> concat(i, ',', 5 * i, ',', x)), '\n')) AS content FROM {e}),
+    c AS (SELECT f.contour_id, c.tempres, c.freq FROM f, LATERAL read_contour('a/b.csv', cast(f.content AS binary)) c)
+    SELECT contour_id, round(tempres, 6) AS tempres, posexplode(freq) AS (pos, value) FROM c"""
+    return _sql(spark, text, e=events(spark, sf_dir))
+
+
+@query(f"""{_EVENTS}, t AS (SELECT contour_id, CASE WHEN len(freq) > 1 THEN freq[1:-2] ELSE freq END AS freq FROM ev)
+SELECT contour_id, CAST(len(freq) AS INTEGER) AS n, round(freq[-1] / 1000, 6) AS ctrlength, round(freq[-1] / 1000 / len(freq), 6) AS tempres, round(list_sum(freq), 6) AS total FROM t""")
+def text_files(spark, sf_dir):
+    """Every contour as a tab-separated file: the last value goes, and the last that stays is the length."""
+    text = """WITH f AS (SELECT contour_id, array_join(transform(freq, x -> concat(x, '\t0')), '\n') AS content FROM {e})
+    SELECT f.contour_id, size(c.freq) AS n, round(c.ctrlength, 6) AS ctrlength, round(c.tempres, 6) AS tempres, round(aggregate(c.freq, 0D, (a, x) -> a + x), 6) AS total FROM f, LATERAL read_contour('b.txt', cast(f.content AS binary)) c"""
+    return _sql(spark, text, e=events(spark, sf_dir))
+
+
+@query(f"""{_EVENTS} SELECT row_number() OVER (ORDER BY contour_id % 2 = 0 DESC, CAST(contour_id AS VARCHAR)) - 1 AS contour_id, 'user' || contour_id AS name, CASE WHEN contour_id % 2 = 0 THEN 'csv' ELSE 'txt' END AS source_format,
+CAST(CASE WHEN contour_id % 2 = 0 OR len(freq) = 1 THEN len(freq) ELSE len(freq) - 1 END AS INTEGER) AS n FROM ev""")
+def directory_scan(spark, sf_dir):
+    """A directory of a file for each contour, written by the tasks, then scanned: numbers follow the format, then the path."""
+    e = events(spark, sf_dir)
+    csv = F.col("contour_id") % 2 == 0
+    lines = F.transform("freq", lambda x: F.concat(x.cast("string"), F.when(csv, "").otherwise("\t0")))
+    rows = e.select(F.concat(F.lit("user"), F.col("contour_id").cast("string"), F.when(csv, ".csv").otherwise(".txt")).alias("file"), F.concat(F.when(csv, "hz\n").otherwise(""), F.array_join(lines, "\n")).alias("value"))
+    folder = scratch(spark)
+    sinks.export_files(rows, folder)
+    return files.load_contours(spark, folder)[0].select("contour_id", "name", "source_format", F.size("freq").alias("n"))
+
+
+@query(f"{_EMB} SELECT category, CAST(p AS INTEGER) AS pos, weight[p + 1] AS value FROM (SELECT category, weight, unnest(range(len(weight))) AS p FROM proto)")
+def saved_model(spark, sf_dir):
+    """Prototypes of a model that is saved and loaded."""
+    folder = scratch(spark)
+    sinks.save_model({"prototypes": prototypes(spark, sf_dir), "assignments": assigned(spark, sf_dir)}, folder)
+    return sinks.load_model(spark, folder)["prototypes"].select("category", F.posexplode("weight").alias("pos", "value"))
+
+
+@query(f"""{_ASSIGNED}, a AS (SELECT label % 3 AS source, contour_id, name || ',' || coalesce(CAST(category + 1 AS VARCHAR), '') || ',' || CAST(round_even(match, 3) AS VARCHAR) AS line FROM assigned WHERE label IS NOT NULL)
+SELECT 'set' || source || '_assignments.csv' AS file, CAST(0 AS INTEGER) AS pos, 'contour_name,category,match' AS line FROM a GROUP BY source
+UNION ALL SELECT 'set' || source || '_assignments.csv', CAST(row_number() OVER (PARTITION BY source ORDER BY contour_id) AS INTEGER), line FROM a
+UNION ALL SELECT 'set' || source || '_weights.csv', CAST(0 AS INTEGER), string_agg('cat_' || (category + 1), ',' ORDER BY category) FROM (SELECT category % 3 AS source, category FROM proto) GROUP BY source
+UNION ALL SELECT 'set' || source || '_weights.csv', CAST(p + 1 AS INTEGER), string_agg(CAST(v AS VARCHAR), ',' ORDER BY category) FROM (SELECT category % 3 AS source, category, p, weight[p + 1] AS v FROM (SELECT category, weight, unnest(range(len(weight))) AS p FROM proto)) GROUP BY source, p""")
+def extracted_files(spark, sf_dir):
+    """The lines of both CSV files of three saved categorisations."""
+    source = lambda c: F.concat(F.lit("set"), (F.col(c) % 3).cast("string")).alias("source")
+    tables = {"assignments": assigned(spark, sf_dir).filter("label is not null").select(source("label"), "contour_id", "name", "category", "match"), "prototypes": prototypes(spark, sf_dir).select(source("category"), "category", "weight")}
+    rows = sinks.categorisation_files(tables).select("file", F.posexplode(F.split(F.expr("left(value, length(value) - 1)"), "\n")).alias("pos", "line"))
+    return rows
+
+
+# learning one step and keeping prototypes --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"{_EMB} SELECT contour_id, CAST(p AS INTEGER) AS pos, round(weight[p + 1] + 0.25 * (freq[p + 1] - weight[p + 1]), 6) AS value FROM (SELECT contour_id, freq, weight, unnest(range(len(freq))) AS p FROM emb JOIN proto ON category = label)")
+def update_identity(spark, sf_dir):
+    """The prototype of its label after it learnt from each vector along the straight warp."""
+    text = """WITH u AS (SELECT contour_id, update_weights(freq, weight, 0.25D, sequence(0, size(freq) - 1)) AS new FROM {e} JOIN {p} ON category = label), r AS (SELECT contour_id, posexplode(new) AS (pos, value) FROM u)
+    SELECT contour_id, pos, round(value, 6) AS value FROM r"""
+    return _sql(spark, text, e=emb(spark, sf_dir), p=F.broadcast(prototypes(spark, sf_dir)))  # labels
+
+
+@query(f"{_ORDERS} SELECT contour_id, count(*) AS n_prototypes, count(*) FILTER (NOT ((len(freq) = 1 AND n = 1) OR (least(len(freq), n) > 1 AND greatest(len(freq), n) < 3 * (least(len(freq), n) - 1)))) AS n_refused FROM oc, (SELECT unnest([1, 2, 5, 12, 30]) AS n) GROUP BY 1")
+def refused_warps(spark, sf_dir):
+    """How many of five straight prototypes have no warp at all onto each contour."""
+    text = """SELECT contour_id, count(*) AS n_prototypes, count_if(size(dtw(weight, freq, 3).warp) = 0) AS n_refused
+    FROM (SELECT contour_id, freq, explode(array(1, 2, 5, 12, 30)) AS n FROM {o}) LATERAL VIEW explode(array(transform(sequence(1, n), i -> 1000D * i))) AS weight GROUP BY contour_id"""
+    return _sql(spark, text, o=orders(spark, sf_dir))
+
+
+@query(f"{_EMB} SELECT category - CASE WHEN category > 4 THEN 1 ELSE 0 END AS category, CAST(p AS INTEGER) AS pos, weight[p + 1] AS value FROM (SELECT category, weight, unnest(range(len(weight))) AS p FROM proto WHERE category <> 4)")
+def deleted_prototype(spark, sf_dir):
+    return weights.delete(prototypes(spark, sf_dir), 4).select("category", F.posexplode("weight").alias("pos", "value"))
+
+
+@query(f"{_EMB} SELECT CAST(n AS INTEGER) AS category, CAST(p AS INTEGER) AS pos, [5.0, 6.5, 8.0][p + 1]::DOUBLE AS value FROM (SELECT max(category) + 1 AS n, unnest(range(3)) AS p FROM proto) UNION ALL SELECT category, CAST(p AS INTEGER), weight[p + 1] FROM (SELECT category, weight, unnest(range(len(weight))) AS p FROM proto)")
+def added_prototype(spark, sf_dir):
+    return weights.add(prototypes(spark, sf_dir), [5.0, 6.5, 8.0]).select("category", F.posexplode("weight").alias("pos", "value"))
+
+
+@query(f"""{_ORDERS}{_RAGGED}, n AS (SELECT c_nationkey AS category, greatest(1, CAST(round_even(avg(len(freq)), 0) AS BIGINT)) AS n FROM oc JOIN customer ON c_custkey = contour_id GROUP BY 1),
+r AS (SELECT category, weight, n, unnest(range(n)) AS p FROM proto JOIN n USING (category))
+SELECT category, CAST(p AS INTEGER) AS pos, round(CASE WHEN len(weight) = 1 THEN weight[1] ELSE {_lerp("weight", "(CASE WHEN n = 1 THEN 0.0 ELSE p * CAST(len(weight) - 1 AS DOUBLE) / (n - 1) END)")} END, 6) AS value FROM r""")
+def averaged_prototypes(spark, sf_dir):
+    """National prototypes brought to the mean length of their customers' contours."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("contour_id"), F.col("c_nationkey").alias("category"))
+    a = weights.average(national(spark, sf_dir), orders(spark, sf_dir), c)
+    return a.select("category", F.posexplode("weight").alias("pos", "value")).select("category", "pos", *six("value"))
+
+
 # summaries --------------------------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -35,12 +35,18 @@ def remove(spark: SparkSession, path: str) -> None:
             raise
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the shared folder; what is written there goes when the process ends."""
+    path = f"{shared_dir(spark)}/undula-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/undula-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 def few(small: DataFrame) -> DataFrame:
