@@ -7,6 +7,8 @@ log probabilities per language. A text gets the language of lowest cross-entropy
 
 Null text or text without a letter: lang `und`, score 0.0, not accepted. Ties go to the first language in sorted order. With no training row every text is
 `und`. Repeated rows are judged alike; null languages don't train; columns other than text (and lang in training) are never looked at.
+
+Texts of any length are read whole (a text of over a megabyte is a batch of its own); an empty table gives no rows.
 """
 
 from __future__ import annotations

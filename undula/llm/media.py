@@ -5,6 +5,8 @@ trun) are read. A keyframe entry is a sample, its offset and size, and how many
 have one size and all are keyframes). Damaged files give what could be read and an error text. `write_audio` stores a payload losslessly as unsigned 8-bit samples.
 
 Null text counts as empty (one unit of zero bytes). Repeated rows give repeated results; columns other than doc_id and text are ignored.
+
+Texts of any length are read whole (a text of over a megabyte is a batch of its own); an empty table gives no rows.
 """
 
 from __future__ import annotations

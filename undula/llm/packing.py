@@ -101,7 +101,7 @@ class _Cutter:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def cut(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
+def cut(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, unit: int = UNIT, lasting: bool = True) -> DataFrame:
     """Pieces that are placed (sequence_id set), and bodies that wait for the plan (units, part, rank, parts set)."""
     end = int(end_id).to_bytes(4, "little")
 
@@ -115,6 +115,9 @@ def cut(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW,
         cutter.close()
         yield cutter.take()
         enc.forget()
+        if not lasting:
+            del enc
+            encoder.cache_clear()
         trim()
 
     return texts_of(docs).mapInArrow(run, _ITEM)
@@ -277,9 +280,9 @@ def place(items: DataFrame, p: Plan, unit: int = UNIT) -> DataFrame:
     return items.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "units", "rank", "parts").mapInArrow(run, _OUT)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    items = materialize(cut(docs, path, end_id, window, unit))
+def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH, lasting: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. lasting: workers keep the loaded encoder (about 75 MB) for their next tasks."""
+    items = materialize(cut(docs, path, end_id, window, unit, lasting))
     bodies = items.filter(F.col("units").isNotNull())
     counts = bodies.groupBy("units", "part").agg(F.count("*").alias("n"))
     # a row for each task and length, so this window holds as many rows as there are tasks

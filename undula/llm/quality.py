@@ -6,6 +6,8 @@ log(target share / raw share) against a fixed threshold; nothing is drawn at ran
 
 Null text: no words. Empty texts fail the base rule (fewer than 50 words). With no trusted row all ratios are 0. Documents or labels given twice count twice
 in the corpus counts and are judged alike; a document is trusted if any row of its id is. Only doc_id and text are read, and doc_id and quality of labels.
+
+Texts of any length are read whole (a text of over a megabyte is a batch of its own); an empty table gives no rows.
 """
 
 from __future__ import annotations

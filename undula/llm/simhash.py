@@ -11,6 +11,8 @@ and their number) before any of this, so copies cost nothing.
 
 Null and empty texts have no word: fingerprint zero, linked like any other. Null ids never represent a group and get its component like all others; a
 component without an id is null. Rows with one doc_id are judged each by its own text and are one node. Only doc_id and text are read.
+
+Texts of any length are read whole (a text of over a megabyte is a batch of its own); an empty table gives no rows.
 """
 
 from __future__ import annotations

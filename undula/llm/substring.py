@@ -20,6 +20,8 @@ A window that half of all documents share is sent once by each group, not once b
 
 Null text has no word. Documents shorter than a window stay whole. Rows with one doc_id are neither earlier nor later than each other at equal starts, so
 exact repeats of a row all stay (or all go for an earlier document's sake). Null ids come before all others. Other columns are ignored.
+
+Texts of any length are read whole (a text of over a megabyte is a batch of its own); an empty table gives no rows.
 """
 
 from __future__ import annotations

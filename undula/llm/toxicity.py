@@ -11,6 +11,8 @@ So the toxic dictionary holds what a test of single words tells about toxic text
 without a telling window every text gets the prior. At most `toxic` + `ordinary` labelled rows are sampled, in the order of a hash of their id; near copies among them count once. Every window of every text is
 scored. Null and empty texts have no window and get the score of none. If either class has no sample every score is the prior (0 without labels). A document
 labelled more than once counts as toxic if any row says so; repeated rows are scored alike; columns other than doc_id and text are never looked at.
+
+Texts of any length are read whole (a text of over a megabyte is a batch of its own); an empty table gives no rows.
 """
 
 from __future__ import annotations
