@@ -180,6 +180,13 @@ def test_language_query(spark, none):
     assert langid.identify(odd, langid.train(none)).filter("lang_pred = 'und' and score = 0").count() == 5
 
 
+def test_language_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"{w} {w} {i}", w) for i, w in enumerate(["aba", "xyz"] * 4)], "doc_id long, text string, lang string")
+    extra = docs.select("*", *(F.lit("x").alias(c) for c in ("lang_pred", "score", "cross_entropy", "accepted", "n", "gram")))
+    found = [langid.identify(d, langid.train(d)).orderBy("doc_id").collect() for d in (docs, extra)]
+    assert found[0] == found[1] and [r.lang_pred for r in found[0]] == ["aba", "xyz"] * 4
+
+
 def test_kneser_ney_is_a_distribution():
     key, _, _ = langid.symbols(["abracadabra banana", "cabana bandana"])
     k, n = np.unique(key, return_counts=True)
