@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from undula.functions import kernels
 from undula.functions.contours import length_ratio_ok, ratio, valid_weight
+from undula.storage import few, materialize
 
 #: Prototypes that may be broadcast, and their points in all; beyond either both sides are shuffled.
 FEW, FEW_POINTS = 20_000, 8_000_000
@@ -43,6 +44,22 @@ def length_join(left: DataFrame, right: DataFrame, a: str, b: str, w: int = 3) -
     return x.join(F.broadcast(y) if few else y, ["_bucket", "_salt"]).filter(length_ratio_ok(F.size(a), F.size(b), w)).drop("_bucket", "_salt")
 
 
+def near_counts(contours: DataFrame, w: int = 3) -> DataFrame:
+    """a (contour_id), n_near (how many other contours its length could be warped onto), shortest and longest of them; contours without one have no row. contours: contour_id (one row each), n (points).
+
+    Lengths alone decide, so no pair of contours is formed: different lengths meet, each with the number of its contours. As each length takes that many points of its own, their pairs are
+    at most twice as many as there are points.
+    """
+    own = contours.filter("contour_id is not null")
+    lengths = materialize(own.groupBy("n").agg(F.count("*").alias("times")).withColumn("_bucket", length_bucket(F.col("n"), w)).filter("_bucket is not null"))
+    x = lengths.select(F.col("n").alias("m"), "_bucket")
+    met = x.join(lengths.withColumn("_bucket", F.explode(F.array(*(F.col("_bucket") + k for k in (-1, 0, 1))))), "_bucket")
+    others = F.col("times") - F.when(F.col("m") == F.col("n"), 1).otherwise(0)
+    met = met.withColumn("times", others).filter(length_ratio_ok(F.col("m"), F.col("n"), w) & (F.col("times") > 0))
+    near = materialize(met.groupBy("m").agg(F.sum("times").alias("n_near"), F.min("n").alias("shortest"), F.max("n").alias("longest")))
+    return own.join(few(near), F.col("n") == F.col("m")).select(F.col("contour_id").alias("a"), "n_near", "shortest", "longest")
+
+
 def every_pair(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
     """All pairs of two frames of which the result has a row each: right is broadcast if few, else given to each of as many tasks as left is dealt over."""
     if few:

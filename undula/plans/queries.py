@@ -322,10 +322,7 @@ def ragged_nearest(spark, sf_dir):
 SELECT a, count(*) AS n_near, CAST(min(n) AS INTEGER) AS shortest, CAST(max(n) AS INTEGER) AS longest FROM x JOIN y ON a <> b AND ((m = 1 AND n = 1) OR (least(m, n) > 1 AND greatest(m, n) < 3 * (least(m, n) - 1))) GROUP BY a""")
 def orders_that_may_meet(spark, sf_dir):
     """Which customers' contours could be warped onto each one's, of all pairs of customers."""
-    o = orders(spark, sf_dir)
-    both = pairs.length_join(o.select(F.col("contour_id").alias("a"), F.col("freq").alias("x")), o.select(F.col("contour_id").alias("b"), F.col("freq").alias("y")), "x", "y", _W)
-    n = F.size("y")
-    return both.filter("a <> b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
+    return pairs.near_counts(tables.order_lengths(spark, sf_dir), _W)
 
 
 _NATION_DTW = _dtw(f"(SELECT e.contour_id, e.freq, p.category, p.weight FROM (SELECT category AS contour_id, weight AS freq FROM proto) e JOIN proto p ON {_NEAR})").replace(_EMB, _ORDERS.replace("WITH ", "WITH RECURSIVE ", 1) + _RAGGED)

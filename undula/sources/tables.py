@@ -31,3 +31,9 @@ def order_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contour_id (customer), freq (order totals by date)."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     return from_points(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice")
+
+
+def order_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contour_id (customer), n (points) of order_contours, counted without the values."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.groupBy(F.col("o_custkey").alias("contour_id")).agg(F.count("*").cast("int").alias("n"))
