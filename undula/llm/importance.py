@@ -1,7 +1,7 @@
 """Importance resampling of documents towards a target distribution of hashed features.
 
 Features are all runs of 1 to `RUN` words (joined by one space, repeats counted); a feature's bucket is the crc32 of its UTF-8 bytes modulo `BUCKETS`. The sparse
-document-by-bucket count matrix is written as CSR blocks, about a megabyte of text each. Column sums of the blocks give the bucket distributions of the corpus and of
+document-by-bucket count matrix is written as CSR blocks, about a megabyte of text each, few to a file. Column sums of the blocks give the bucket distributions of the corpus and of
 the target; their smoothed log ratio is a bucket's gain; a sparse product of each block with the gains gives each document's weight, the floored mean gain of its
 features. Weights plus Gumbel noise by id are scores, whose highest share is drawn, so that a document is drawn in proportion to its importance without replacement.
 
@@ -31,6 +31,8 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BREAK = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 #: Bytes of a text that are split into words at once.
 _SLICE = 1 << 20
+#: Blocks of a written file. A Parquet reader decodes up to 4,096 rows of a file together, whatever their size, so files are what bounds the blocks that a task holds.
+FILE_BLOCKS = 16
 _BLOCK = "doc_ids array<bigint>, words array<bigint>, starts array<int>, buckets array<smallint>, counts array<int>"
 
 
@@ -156,6 +158,6 @@ def draw(weighed: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WO
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
     """draw() of docs (doc_id, text) by their importance for the texts of target (text)."""
-    blocks = materialize(matrix(docs))
+    blocks = materialize(matrix(docs), FILE_BLOCKS)
     wanted = matrix(target.select(F.lit(None).cast("long").alias("doc_id"), "text"))
     return draw(weigh(blocks, gains(column_sums(blocks), column_sums(wanted))), percent, least_words, seed)
