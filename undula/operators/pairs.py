@@ -7,6 +7,7 @@ reach Python. One side is broadcast only if it is_few; else both are shuffled, e
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from undula.storage import few, materialize
 #: Prototypes that may be broadcast, and their points in all; beyond either both sides are shuffled.
 FEW, FEW_POINTS = 20_000, 8_000_000
 
+#: Points of contours that are compared at a time.
+_CELLS = 1 << 16
+
 
 def is_few(prototypes: DataFrame, column: str = "weight") -> bool:
     """Whether prototypes may be sent to every task."""
@@ -95,6 +99,44 @@ def compare(contours: DataFrame, prototypes: DataFrame, w: int = 3, bias: float
     return out.select("contour_id", "category", "freq", "weight", "similarity", "warp", (F.col("similarity") * (1 - bias)).alias("activation"))
 
 
+def similarities(contours: DataFrame, prototypes: DataFrame, w: int = 3, bias: float = 0.0) -> DataFrame:
+    """contour_id, category, similarity and activation as in compare(), without the warps.
+
+    Prototypes that are few go to the tasks, where contours pass by once and those of one length are compared together with the prototypes of one length.
+    """
+    p = materialize(prototypes.select("category", valid_weight(F.col("weight")).alias("weight")).filter("size(weight) > 0"))
+    if not is_few(p):
+        return compare(contours, p, w, bias).select("contour_id", "category", "similarity", "activation")
+    refs = p.toArrow().combine_chunks()  # checked to be few
+    names, weights = refs.column("category").combine_chunks(), refs.column("weight").to_pylist()
+    sizes = np.array([len(x) for x in weights], dtype=np.int64)
+    together = [(m, own := np.flatnonzero(sizes == m), np.array([weights[k] for k in own.tolist()], dtype=float)) for m in np.unique(sizes).tolist()]
+
+    def run(batches):
+        for b in batches:
+            freq = b.column("freq")
+            size = np.array(freq.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            values = freq.flatten().to_numpy(zero_copy_only=False).astype(float)
+            first = np.cumsum(size) - size
+            for n in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == n)
+                for m, own, refs in together:
+                    if not (m == n == 1 or kernels.length_ratio(m, n) < w):
+                        continue
+                    some = max(1, _CELLS // (n * len(own)))
+                    for at in range(0, len(rows), some):
+                        part = rows[at : at + some]
+                        for k in range(0, len(own), max(1, _CELLS // n)):  # as many references as there may be
+                            few_ = own[k : k + max(1, _CELLS // n)]
+                            found = kernels.scores(refs[k : k + len(few_)], values[first[part][:, None] + np.arange(n)], w)
+                            category, contour = np.repeat(few_, len(part)), np.tile(part, len(few_))
+                            yield pa.RecordBatch.from_arrays([b.column("contour_id").take(pa.array(contour)), names.take(pa.array(category)), pa.array(found.ravel())], names=["contour_id", "category", "similarity"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in (*contours.select("contour_id").schema, *p.select("category").schema)}
+    out = contours.select("contour_id", "freq").mapInArrow(run, f"contour_id {kinds['contour_id']}, category {kinds['category']}, similarity double")
+    return out.withColumn("activation", F.col("similarity") * (1 - bias))
+
+
 def prototype_pairs(prototypes: DataFrame, w: int = 3, ordered: bool = True) -> DataFrame:
     """i, j, similarity of prototypes: all ordered pairs with 100 on the diagonal, or only i < j (similarity is not symmetric; the reference is i). Pairs that lengths rule out have 0.
 

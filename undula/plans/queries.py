@@ -235,7 +235,7 @@ def _compared(spark, sf_dir):
 
 @query(f"{_DTW} SELECT contour_id, category, round(similarity, 6) AS similarity FROM dtw")
 def dtw_similarity(spark, sf_dir):
-    return _compared(spark, sf_dir).select("contour_id", "category", *six("similarity"))
+    return pairs.similarities(emb(spark, sf_dir), prototypes(spark, sf_dir), _W).select("contour_id", "category", *six("similarity"))
 
 
 @query(_PATH)
@@ -245,7 +245,7 @@ def dtw_path(spark, sf_dir):
 
 @query(f"{_DTW} SELECT contour_id, arg_max(category, struct_pack(s := round(similarity, 9), c := -category)) AS category FROM dtw GROUP BY 1")
 def best_category(spark, sf_dir):
-    return predict.best(_compared(spark, sf_dir).withColumn("activation", F.round("activation", 9))).select("contour_id", "category")
+    return predict.best(pairs.similarities(emb(spark, sf_dir), prototypes(spark, sf_dir), _W).withColumn("activation", F.round("activation", 9))).select("contour_id", "category")
 
 
 @query(f"{_EMB} SELECT contour_id, category, CAST(row_number() OVER (PARTITION BY contour_id ORDER BY match DESC, category) - 1 AS INTEGER) AS rank FROM ident")
@@ -309,7 +309,7 @@ _RAGGED_DTW = _dtw(f"(SELECT * FROM emb JOIN proto ON {_NEAR})").replace(_EMB, _
 
 @query(f"{_RAGGED_DTW} SELECT contour_id, category, round(similarity, 6) AS similarity FROM dtw")
 def ragged_similarity(spark, sf_dir):
-    return pairs.compare(orders(spark, sf_dir), national(spark, sf_dir), _W).select("contour_id", "category", *six("similarity"))
+    return pairs.similarities(orders(spark, sf_dir), national(spark, sf_dir), _W).select("contour_id", "category", *six("similarity"))
 
 
 @query(f"""{_RAGGED_DTW}, n AS (SELECT contour_id, count(*) AS n, max(round(similarity, 9)) AS top FROM dtw GROUP BY 1)
@@ -720,7 +720,7 @@ def match_valid_positions(spark, sf_dir):
 
 @query(f"{_RAGGED_DTW} SELECT contour_id, category, round(similarity * (1 - CAST(0.2 AS DOUBLE)), 6) AS activation FROM dtw")
 def ragged_activation(spark, sf_dir):
-    return pairs.compare(orders(spark, sf_dir), national(spark, sf_dir), _W, bias=0.2).select("contour_id", "category", *six("activation"))
+    return pairs.similarities(orders(spark, sf_dir), national(spark, sf_dir), _W, bias=0.2).select("contour_id", "category", *six("activation"))
 
 
 @query(f"""{_EVENTS}, b AS (SELECT contour_id, freq, CASE WHEN tempres > 0 THEN tempres ELSE 0.01 END AS t, CASE WHEN len(freq) > 20 THEN 20 ELSE len(freq) END AS l FROM ev),
