@@ -3,8 +3,9 @@
 A URL's tokens are its host's suffixes of two labels or more, the words of its host, its path segments (digits as one sign) and the names of its query's
 parameters. FP-growth runs over the labelled URLs with the label as one more token; combinations that imply it are rules. A rule stays if the lower Wilson
 bound of its confidence reaches `confidence` and no shorter rule is contained in it. Before mining, tokens that no rule can use go (fewer than `least` bad rows), of tokens that occur in the
-same labelled rows one stays (a page template's tokens are one), and a URL keeps its `STRONGEST` tokens by the same lower bound, so that a URL has at most 2 ** STRONGEST combinations
-however long it is. Rules match through an inverted index on one token each. Every such rule has
+same labelled rows one stays (a page template's tokens are one). FP-growth takes the URLs of at most `TOGETHER` such tokens, which have at most 2 ** TOGETHER combinations each; combinations that
+occur in a longer URL are counted over all URLs by levels, one token more at a time, and a combination grows only while it is frequent, no rule, and in fewer URLs than each of its parts (else a
+shorter rule says the same). So no rule is lost, and what is held is bounded by disk. Rules match through an inverted index on one token each. Every such rule has
 a support of at least `support` of the labelled rows (and `least` rows), so 1 / support bounds the combinations through each of a URL's tokens; these rules, not the
 URLs, are sent to the tasks. A single token needs only `least` rows at any size of the input: such tokens stay a table, whose number may grow with the input, and
 match by a join on the token. Ties of equal tokens and strengths go by the token.
@@ -15,6 +16,7 @@ alike, and an empty table gives no rows; only the id, url and label columns are
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from undula.llm.common import few, materialize
 
 SUPPORT, LEAST, CONFIDENCE, Z = 2e-4, 9, 0.5, 3.0
-#: Tokens of a URL that are mined together.
-STRONGEST = 12
+#: Tokens of a URL that FP-growth takes; longer URLs are mined by levels.
+TOGETHER = 12
 #: The label's token; no URL token starts with a sign of this kind.
 BAD = "!bad"
 #: (host, path, verdict) of the list that goes before the mined rules (fixed values).
@@ -117,18 +119,49 @@ def _low(hits: Column, n: Column, z: float) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def minable(items: DataFrame, least: int = LEAST, z: float = Z, strongest: int = STRONGEST) -> DataFrame:
-    """tokens, bad of the rows of items (written) that have a token to be mined, with these tokens only.
+def minable(items: DataFrame, least: int = LEAST) -> DataFrame:
+    """row, tokens, bad of the rows of items (written) that have a token to be mined, with these tokens only.
 
     Tokens occur in the same rows if the counts and the sums of two hashes of their rows agree.
     """
     row = items.select("tokens", "bad", F.monotonically_increasing_id().alias("row"))
     each = row.select(F.explode("tokens").alias("token"), F.col("bad").cast("int").alias("bad"), "row")
     sums = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("hits"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "row")).alias("y"))
-    one = sums.filter(F.col("hits") >= least).groupBy("n", "hits", "x", "y").agg(F.min("token").alias("token"))
-    kept = materialize(one.select("token", _low(F.col("hits"), F.col("n"), z).alias("strength")))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("strength")).alias("s"), "token")))
-    return each.join(few(kept), "token").groupBy("row").agg(F.max("bad").alias("bad"), F.slice(order, 1, strongest).alias("x")).select(F.col("x.token").alias("tokens"), (F.col("bad") == 1).alias("bad"))
+    kept = materialize(sums.filter(F.col("hits") >= least).groupBy("n", "hits", "x", "y").agg(F.min("token").alias("token")).select("token"))
+    return each.join(few(kept), "token").groupBy("row").agg((F.max("bad") == 1).alias("bad"), F.sort_array(F.collect_list("token")).alias("tokens"))
+
+
+def by_levels(own: DataFrame, least: int, confidence: float = CONFIDENCE, z: float = Z, together: int = TOGETHER) -> list[Rule]:
+    """Rules that contain no shorter one and occur in a row of more than `together` tokens, with their counts in all rows. own: row, tokens, bad, written."""
+    total, rules, alive, single = own.count(), [], None, None
+    grown = own.select("row", F.col("bad").cast("int").alias("bad"), (F.size("tokens") > together).alias("long"), F.explode("tokens").alias("token")).withColumn("set", F.array("token"))
+    while True:
+        sums = grown.groupBy("set").agg(F.count("*").alias("n"), F.sum("bad").alias("hits"), F.max("long").alias("long")).filter((F.col("hits") >= least) & F.col("long"))
+        if alive is not None:
+            parts = sums.select("set", "n", F.explode(F.expr("transform(sequence(0, size(set) - 1), i -> filter(set, (x, j) -> j != i))")).alias("part"))
+            lives = parts.join(alive.select(F.col("set").alias("part"), F.col("n").alias("m")), "part").filter("m > n").groupBy("set").count().filter("count = size(set)")
+            sums = sums.join(lives.select("set"), "set")
+        level = materialize(sums.withColumn("sure", _low(F.col("hits"), F.col("n"), z) >= confidence))
+        rules += [Rule(tuple(sorted(r.set)), r.hits / r.n, r.hits / total) for r in level.filter("sure").toLocalIterator()]
+        alive = level.filter("not sure")
+        if alive.isEmpty():
+            return rules
+        lived = grown.join(few(alive.select("set", "n")).select("set"), "set", "left_semi")
+        if single is None:
+            single = materialize(lived.select("row", "token"))
+        grown = materialize(lived.select("row", "bad", "long", "set").join(single, "row").filter(F.col("token") > F.element_at("set", -1)).select("row", "bad", "long", F.concat("set", F.array("token")).alias("set")))
+
+
+def within(rules: list[Rule], long: DataFrame) -> set[int]:
+    """The numbers of the rules that occur in a row of long (tokens)."""
+    index, number = Index(rules), {r: i for i, r in enumerate(rules)}
+
+    def run(batches):
+        for b in batches:
+            found = {number[r] for own in b.column("tokens").to_pylist() for have in (set(own),) for t in own for r in index.by.get(t, []) if have.issuperset(r.tokens)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["rule"])
+
+    return {r.rule for r in long.select("tokens").mapInArrow(run, "rule long").distinct().toLocalIterator()}
 
 
 def rare(items: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE, z: float = Z) -> DataFrame:
@@ -137,20 +170,28 @@ def rare(items: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE, z
     return materialize(found.filter(_low(F.col("hits"), F.col("n"), z) >= confidence).select("token", (F.col("hits") / F.col("n")).alias("confidence"), "n"))
 
 
-def mine(items: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, z: float = Z) -> list[Rule]:
+def mine(items: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, z: float = Z, together: int = TOGETHER) -> list[Rule]:
     """Rules of frequent combinations; items: tokens, bad, written."""
     n = items.count()
     if n < least:
         return []
-    own = materialize(minable(items, least, z))
-    if own.isEmpty():
+    own = materialize(minable(items, least))
+    total = own.count()
+    if not total:
         return []
-    share = min(1.0, max(support, least / n) * n / own.count())  # of the rows that are left, so that a rule needs as many as of all
-    items = own.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence, numPartitions=parts).fit(items)
-    found = model.associationRules.filter(F.col("consequent")[0] == BAD).select("antecedent", "confidence", "support")
-    return prune([Rule(tuple(sorted(r.antecedent)), r.confidence, r.support) for r in found.toLocalIterator()], own.count(), confidence, z)
+    need = math.ceil(min(total, max(support, least / n) * n))  # rows of a rule, of those that are left as many as of all
+    short, long = (own.filter(F.size("tokens") <= together), own.filter(F.size("tokens") > together))
+    rows, rules = short.count(), []
+    if rows >= need:
+        items = short.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+        parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        model = FPGrowth(itemsCol="items", minSupport=max(0.0, (need - 0.5) / rows), minConfidence=confidence, numPartitions=parts).fit(items)
+        found = model.associationRules.filter(F.col("consequent")[0] == BAD).select("antecedent", "confidence", "support")
+        rules = [Rule(tuple(sorted(r.antecedent)), r.confidence, r.support * rows / total) for r in found.toLocalIterator()]
+    if rows < total:
+        gone = within(rules, long)  # short rows alone don't tell their counts
+        rules = [r for i, r in enumerate(rules) if i not in gone] + by_levels(own, need, confidence, z, together)
+    return prune(rules, total, confidence, z)
 
 
 class Index:
