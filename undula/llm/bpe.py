@@ -17,15 +17,15 @@ import os
 import re
 import struct
 from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from undula.llm.common import map_arrow, texts_of
 
-#: Entries of a worker's table of words; it is emptied when full.
-CACHE = 400_000
+#: Entries of a worker's table of words; it is emptied when full. The byte-level encoder learns a word faster, so that its table can be small.
+CACHE, BYTE_CACHE = 400_000, 40_000
 #: Longer words are encoded by the tree and not kept.
 LEAF = 256
 #: White space of the tokenizer's patterns (fixed values); Python's own set has four more control characters.
@@ -91,17 +91,28 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = self.spec()
         self.end = spec["model"].get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.merges = Merges(spec["model"])
-        self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
         self.pool = ThreadPoolExecutor(2)
 
+    def spec(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
+
+    @cached_property
+    def merges(self) -> Merges:
+        """Of use for long words alone, so read when one comes."""
+        return Merges(self.spec()["model"])
+
+    @cached_property
+    def names(self) -> list[str]:
+        return [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+
     def symbols(self, piece: str) -> list[str]:
         s = list(piece)
         if self.end and s:
@@ -186,7 +197,7 @@ class ByteEncoder(Encoder):
         import tiktoken
 
         codes = {c: b for b, c in enumerate(_byte_names())}
-        ranks = {bytes(codes[c] for c in t): i for t, i in self.merges.vocab.items() if t not in self.special}
+        ranks = {bytes(codes[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
         self.core = tiktoken.Encoding("ranks", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.pieces: dict[str, bytes] = {}
 
@@ -195,7 +206,7 @@ class ByteEncoder(Encoder):
         if ids is None:
             got = self.core.encode_single_piece(text.encode())
             ids = struct.pack(f"<{len(got)}I", *got)
-            if len(self.pieces) >= CACHE // 2:
+            if len(self.pieces) >= BYTE_CACHE:
                 self.pieces.clear()
             self.pieces[text] = ids
         return ids
@@ -204,6 +215,7 @@ class ByteEncoder(Encoder):
         """Empty the tables: a worker outlives its tasks."""
         self.ids.clear()
         self.pieces.clear()
+        self.__dict__.pop("merges", None)
 
     def learn(self, words: set[str]) -> None:
         odd = []
@@ -230,7 +242,7 @@ class ByteEncoder(Encoder):
         if new:
             if max(map(len, new)) > LEAF:
                 return b"".join(map(self._one, parts))
-            if len(self.ids) + len(new) > CACHE:
+            if len(self.ids) + len(new) > BYTE_CACHE:
                 self.ids.clear()
                 new = set(parts)
             self.learn(new)
@@ -239,6 +251,8 @@ class ByteEncoder(Encoder):
     def _one(self, part: str) -> bytes:
         if len(part) <= LEAF:
             if part not in self.ids:
+                if len(self.ids) >= BYTE_CACHE:
+                    self.ids.clear()
                 self.learn({part})
             return self.ids[part]
         ids = self.long(part)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm.bpe import ByteEncoder, encoder
-from undula.llm.common import materialize, pieces, texts_of, trim
+from undula.llm.common import materialize, pieces, small_batches, texts_of, trim
 
 WINDOW, UNIT, DEPTH = 2048, 32, 3
 END_ID = 1
@@ -282,7 +282,8 @@ def place(items: DataFrame, p: Plan, unit: int = UNIT) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH, lasting: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. lasting: workers keep the loaded encoder (about 75 MB) for their next tasks."""
-    items = materialize(cut(docs, path, end_id, window, unit, lasting))
+    with small_batches(docs.sparkSession):
+        items = materialize(cut(docs, path, end_id, window, unit, lasting))
     bodies = items.filter(F.col("units").isNotNull())
     counts = bodies.groupBy("units", "part").agg(F.count("*").alias("n"))
     # a row for each task and length, so this window holds as many rows as there are tasks
